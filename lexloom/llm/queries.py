@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import p1_overlap, p2_near, p4_canonical, p7_tokens, p8_containers
+from . import p1_overlap, p2_near, p3_truncated, p4_canonical, p7_tokens, p8_containers
 from .base import table
 
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_report": lambda s, d: p1_overlap.report(table(s, d, "samples"), table(s, d, "dataset_splits")),
         "p2_found": lambda s, d: p2_near.found(table(s, d, "samples")),
         "p2_groups": lambda s, d: p2_near.groups(table(s, d, "samples")),
+        "p3_found": lambda s, d: p3_truncated.found(table(s, d, "generation_results")),
+        "p3_report": lambda s, d: p3_truncated.report(table(s, d, "generation_results")),
         "p4_found": lambda s, d: p4_canonical.found(table(s, d, "samples")),
         "p4_collapsed": lambda s, d: p4_canonical.collapsed(table(s, d, "samples")),
         "p4_report": lambda s, d: p4_canonical.report(table(s, d, "samples"), table(s, d, "quality_metrics")),
