@@ -90,34 +90,34 @@ def grams(texts: list[str], n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     return h[index], begin
 
 
-def distinct_sorted(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct hashes in ascending order, laid out as grams() does."""
-    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    return h, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(begin) - 1))])
+#: Bits of a window's hash that are kept beside the number of its text or pair: of 1,000 windows two are equal by chance with odds below 10^-7.
+KEPT = np.uint64(44)
 
 
-def shared_counts(h: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 20_000) -> np.ndarray:
+def distinct_sorted(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes (of KEPT bits) in ascending order, laid out as grams() does. Fewer than 2^20 texts."""
+    n = len(begin) - 1
+    assert n < 1 << 20
+    k = np.repeat(np.arange(n, dtype=np.uint64) << KEPT, np.diff(begin)) | (h >> (np.uint64(64) - KEPT))
+    k.sort()
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    k = k[new]
+    return k & ((np.uint64(1) << KEPT) - np.uint64(1)), np.searchsorted(k, np.arange(n + 1, dtype=np.uint64) << KEPT)
+
+
+def shared_counts(h: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 10_000) -> np.ndarray:
     """How many hashes the texts a[i] and b[i] share; the sets are laid out as distinct_sorted() gives them."""
     out = np.zeros(len(a), np.int64)
     size = np.diff(begin)
     for s in range(0, len(a), block):
-        x, y = a[s : s + block], b[s : s + block]
-        pair = np.arange(len(x))
-        cx, cy = size[x], size[y]
-        ix = np.arange(cx.sum()) + np.repeat(begin[x] - np.concatenate([[0], np.cumsum(cx)[:-1]]), cx)
-        iy = np.arange(cy.sum()) + np.repeat(begin[y] - np.concatenate([[0], np.cumsum(cy)[:-1]]), cy)
-        # one number for (pair, hash): a second mix keeps 64 bits, so that two of some 10^7 are equal by chance with odds below 10^-5
-        k = np.concatenate([mix(h[ix] + np.repeat(pair, cx).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), mix(h[iy] + np.repeat(pair, cy).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))])
-        who = np.concatenate([np.repeat(pair, cx), np.repeat(pair, cy)])
-        order = np.argsort(k)
-        k = k[order]
-        same = np.flatnonzero(k[1:] == k[:-1])
-        out[s : s + block] = np.bincount(who[order[same]], minlength=len(x))
+        x = np.stack([a[s : s + block], b[s : s + block]], 1).ravel()
+        c = size[x]
+        index = np.arange(c.sum()) + np.repeat(begin[x] - (np.cumsum(c) - c), c)
+        k = np.repeat(np.arange(len(x), dtype=np.uint64) >> np.uint64(1) << KEPT, c) | h[index]
+        k.sort()
+        same = k[1:][k[1:] == k[:-1]] >> KEPT
+        out[s : s + block] = np.bincount(same.astype(np.int64), minlength=len(x) // 2)
     return out
 
 

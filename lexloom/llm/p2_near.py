@@ -43,7 +43,7 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     has = np.flatnonzero(size)
     if not len(has):
         return out, size
-    x = (d >> np.uint64(32)).astype(np.uint32)
+    x = (d >> np.uint64(12)).astype(np.uint32)
     y = np.empty_like(x)
     for k in range(K):
         np.multiply(x, _factors[k], out=y)
