@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import p1_overlap, p2_near, p3_truncated, p4_canonical, p7_tokens, p8_containers
+from . import p1_overlap, p2_near, p3_truncated, p4_canonical, p7_tokens, p8_containers, p9_garbled
 from .base import table
 
 
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_collapsed": lambda s, d: p4_canonical.collapsed(table(s, d, "samples")),
         "p4_report": lambda s, d: p4_canonical.report(table(s, d, "samples"), table(s, d, "quality_metrics")),
         "p7_ids": lambda s, d: p7_tokens.ids(table(s, d, "documents")),
+        "p9_found": lambda s, d: p9_garbled.found(table(s, d, "documents")),
+        "p9_restored": lambda s, d: p9_garbled.restored(table(s, d, "documents")),
         "p8_packed": lambda s, d: p8_containers.packed(p7_tokens.sizes(table(s, d, "documents"))),
         "p8_containers": lambda s, d: p8_containers.containers(p7_tokens.sizes(table(s, d, "documents"))),
     }
