@@ -36,6 +36,7 @@ LOST = "�"
 _units = regex.compile(r"[^\r\n]+")
 _sentences = regex.compile(r"(?<=[.!?।؟。！？]) +|(?<=[。！？])")
 _high = re.compile(r"[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™]{3,}")
+_wide = re.compile(r"[^\x00-\x7f]{2,} ?|[^\x00-\x7f] [^\x00-\x7f]?")
 _han = re.compile(r"[㐀-鿿\ue000-\uf8ff]")
 _word = regex.compile(r"[\p{L}\p{M}�]+")
 _letters = regex.compile(r"[\p{L}\p{M}]+")
@@ -317,8 +318,9 @@ class Channel:
     @staticmethod
     def pages(text: str) -> list[str]:
         """The pages in which UTF-8 looks like something in the text."""
-        out = [p for p in READ_AS[:-1] if _table(p)[1].search(text)]
-        return out + ["gb18030"] if _han.search(text) else out
+        wide = "\n".join(set(_wide.findall(text)))
+        out = [p for p in READ_AS[:-1] if _table(p)[1].search(wide)]
+        return out + ["gb18030"] if _han.search(wide) else out
 
     def text(self, text: str) -> tuple[str, int, int]:
         """The restored text, how many passages were garbled, and how many places stay open."""
