@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import batches, mix, spread
+from .crf import forward_backward
 
 #: The languages, and the other names of each (besides its own code).
 NAMES = {
@@ -146,43 +147,6 @@ class Field:
         return out
 
 
-def forward_backward(emissions: list[np.ndarray], move: np.ndarray, pairs: bool = False) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """Posteriors of sequences of about the same length, the expected transitions, and the log partition."""
-    n, t = len(emissions), max(map(len, emissions), default=0)
-    expected = np.zeros((N, N))
-    if not t:
-        return [np.zeros((0, N), np.float32)] * n, expected, 0.0
-    e = np.zeros((t, n, N), np.float32)
-    length = np.array([len(x) for x in emissions])
-    for i, x in enumerate(emissions):
-        e[: len(x), i] = x
-    top = e.max(2, keepdims=True)
-    e = np.exp(e - top)
-    live = np.arange(t)[:, None] < length
-    a = np.empty_like(e)
-    scale = np.ones((t, n), np.float32)
-    for k in range(t):
-        v = e[k] if k == 0 else (a[k - 1] @ move) * e[k]
-        z = np.maximum(v.sum(1), 1e-30)
-        a[k] = v / z[:, None]
-        scale[k] = z
-    b = np.ones((n, N), np.float32)
-    post = np.empty_like(e)
-    for k in range(t - 1, -1, -1):
-        v = a[k] * b
-        post[k] = v / np.maximum(v.sum(1, keepdims=True), 1e-30)
-        if k:
-            w = e[k] * b
-            if pairs:
-                x = (a[k - 1][:, :, None] * move) * w[:, None, :]
-                x /= np.maximum(x.sum((1, 2), keepdims=True), 1e-30)
-                expected += x[live[k]].sum(0)
-            w = w @ move.T
-            b = np.where(live[k][:, None], w / np.maximum(w.max(1, keepdims=True), 1e-30), 1.0)
-    log_z = float((np.log(scale) + top[..., 0])[live].sum())
-    return [post[: length[i], i] for i in range(n)], expected, log_z
-
-
 def _lexicon(texts: list[list[str]], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Words with at least three occurrences in the training texts, seven tenths of them in one language."""
     count: dict[str, np.ndarray] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import p1_overlap, p2_near, p3_truncated, p4_canonical, p5_language, p7_tokens, p8_containers, p9_garbled
+from . import p1_overlap, p2_near, p3_truncated, p4_canonical, p5_language, p6_personal, p7_tokens, p8_containers, p9_garbled
 from .base import table
 
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_report": lambda s, d: p4_canonical.report(table(s, d, "samples"), table(s, d, "quality_metrics")),
         "p5_found": lambda s, d: p5_language.found(table(s, d, "samples")),
         "p5_segments": lambda s, d: p5_language.labelled(table(s, d, "samples")),
+        "p6_found": lambda s, d: p6_personal.found(table(s, d, "pii_results"), table(s, d, "name_lexicon")),
+        "p6_cleaned": lambda s, d: p6_personal.scanned(table(s, d, "pii_results"), table(s, d, "name_lexicon")).selectExpr("result_id", "cleaned_text", "size(found) as n_values", "size(found) > 0 as has_pii"),
         "p7_ids": lambda s, d: p7_tokens.ids(table(s, d, "documents")),
         "p9_found": lambda s, d: p9_garbled.found(table(s, d, "documents")),
         "p9_restored": lambda s, d: p9_garbled.restored(table(s, d, "documents")),
