@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text_plans", "corpus_plans")
+MODULES = ("text_plans", "source_plans", "corpus_plans", "sampling_plans", "relation_plans", "augment_plans", "evaluation_plans", "security_plans")
 
 
 def plans() -> dict[str, tuple]:
