@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import once
+
 from .base import cut
 
 #: Fixed patterns. END: sentence ends of the scripts; AFTER: what may follow one; BULLET: the start of a list item.
@@ -85,18 +87,20 @@ def limits(results: DataFrame) -> DataFrame:
 def _features(results: DataFrame) -> DataFrame:
     """One row for each non-blank text: its ending's form, and the keys that are looked up for it."""
     t = F.regexp_replace("text", r"[\s\p{Z}\p{Cf}]+$", "")
-    rows = results.where("text is not null").select("call_id", "source", F.length("text").cast("bigint").alias("len"), "text", t.alias("t")).where(F.col("t").rlike(r"[\p{L}\p{N}]"))
+    rows = results.where("text is not null").select("call_id", "source", F.length("text").cast("bigint").alias("len"), "text")
+    rows = once(rows, t=t).where(F.col("t").rlike(r"[\p{L}\p{N}]"))
     # a JSON value: at the start, behind a code fence, or on a line of its own
     body = F.regexp_extract("t", r"(?s)^\s*(?:[^\n\[{]{0,80}\n)?\s*(?:```\w*\s*)?([\[{]\s*[\[{\"].*|[\[{]\s*)$", 1)
-    bare = F.regexp_replace(body, r'(?s)"(?:[^"\\]++|\\.)*+"', "")
     many = lambda c, chars: F.length(c) - F.length(F.translate(c, chars, ""))
-    rows = rows.withColumn("json", body != "").withColumn("bare", bare)
+    rows = once(rows, _body=body)
+    rows = once(rows, json=F.col("_body") != "", bare=F.regexp_replace("_body", r'(?s)"(?:[^"\\]++|\\.)*+"', "")).drop("_body")
     rows = rows.withColumn("open", F.col("json") & (F.col("bare").contains('"') | (many(F.col("bare"), "[{") > many(F.col("bare"), "]}"))))
     stem = F.regexp_replace("t", r"\s*(?:\.{2,}|…)[\s.…]*$", "")
-    rows = rows.withColumn("dots", F.col("t").rlike(r"(?:\.{2,}|…)$")).withColumn("stem", F.when(F.col("dots"), stem).otherwise(F.regexp_replace("t", rf"[\s\p{{So}}\p{{Sk}}\x{{fe0f}}\x{{1f3fb}}-\x{{1f3ff}}★☆]+$", "")))
-    last = F.regexp_extract("stem", r"([^\n\r]*)$", 1)
-    rows = rows.withColumn("last", last).withColumn("n_lines", F.size(F.split(F.trim("stem"), r"\r?\n")))
-    rows = rows.withColumn("ended", F.col("stem").rlike(rf"[{END}][{AFTER}]*$")).withColumn("frag", F.regexp_extract("stem", rf"([^{END}\n\r]*)$", 1))
+    rows = rows.withColumn("dots", F.col("t").rlike(r"(?:\.{2,}|…)$"))
+    rows = once(rows, stem=F.when(F.col("dots"), stem).otherwise(F.regexp_replace("t", rf"[\s\p{{So}}\p{{Sk}}\x{{fe0f}}\x{{1f3fb}}-\x{{1f3ff}}★☆]+$", "")))
+    last = F.element_at(F.split("stem", r"[\n\r]"), -1)  # a pattern that ends in $ would be tried from each character
+    rows = once(rows, last=last).withColumn("n_lines", F.size(F.split(F.trim("stem"), r"\r?\n")))
+    rows = rows.withColumn("ended", F.col("stem").rlike(rf"[{END}][{AFTER}]*$")).withColumn("frag", F.element_at(F.split("last", rf"[{END}]"), -1))
     words = F.split(F.trim(F.regexp_replace("last", r"\s+", " ")), " ")
     rows = rows.withColumn("w1", F.element_at(words, -1)).withColumn("w2", F.when(F.size(words) > 1, F.concat_ws(" ", F.element_at(words, -2), F.element_at(words, -1)))).withColumn("n_words", F.size(words))
     opened = many(F.col("last"), "(（[") > many(F.col("last"), ")）]")
