@@ -32,7 +32,7 @@ END = r".!?。！？؟।۔"
 AFTER = r"\"'”’»›)\]）】」』*_\s\p{So}\p{Sk}\p{Cf}\x{fe0f}\x{1f3fb}-\x{1f3ff}★☆"
 BULLET = r"^\s*(?:[-*•·–]|\d+[.)])\s+"
 #: Chance that a text with this ending is cut, before its length is looked at.
-CHANCE = {"open": 0.9995, "damaged": 0.9995, "prose": 0.995, "item_cut": 0.99, "item": 0.002, "line": 0.0005, "number": 0.25, "end": 0.0005, "style": 0.003, "dots": 0.995, "bracket": 0.97}
+CHANCE = {"open": 0.9995, "damaged": 0.9995, "prose": 0.995, "item_cut": 0.99, "item": 0.002, "line": 0.0005, "number": 0.25, "end": 0.0005, "style": 0.0005, "dots": 0.995, "bracket": 0.97}
 #: A last line counts as a known form, or a last sentence as a style, from this share of the lines or texts of its kind, and at least so many.
 KNOWN, STYLE, LEAST = 0.004, 0.01, 3
 

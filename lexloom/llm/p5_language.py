@@ -164,6 +164,8 @@ def _lexicon(texts: list[list[str]], labels: list[int]) -> tuple[np.ndarray, np.
 def _train(texts: list[list[str]], paths: list[np.ndarray], lexicon: tuple, rounds: int) -> Field:
     """Weights that maximise the paths' likelihood, with a quadratic penalty, by full-batch Adagrad."""
     field = Field(np.zeros((SPACE + N, N), np.float32), np.zeros((N, N), np.float32), lexicon)
+    if not texts:  # no row has a label that names a language: all languages stay equally likely
+        return field
     vocabulary: dict[str, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int64) for t in texts]
     f = field.words.features(list(vocabulary))
@@ -174,6 +176,7 @@ def _train(texts: list[list[str]], paths: list[np.ndarray], lexicon: tuple, roun
     by = np.argsort(flat, kind="stable")
     flat, rows = flat[by], rows[by]
     edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    edge = edge[edge < len(flat)]
     used = flat[edge]
     order = np.argsort([len(x) for x in ids], kind="stable")
     gold_moves = np.zeros((N, N))
@@ -196,9 +199,10 @@ def _train(texts: list[list[str]], paths: list[np.ndarray], lexicon: tuple, roun
             p = np.concatenate(post)
             for k in range(N):
                 g_words[:, k] -= np.bincount(where, weights=p[:, k], minlength=len(f))
-        g = np.add.reduceat(g_words[rows], edge, axis=0) - 0.05 * field.weights[used]
-        seen_w += g * g
-        field.weights[used] += (0.5 * g / np.sqrt(seen_w)).astype(np.float32)
+        if len(used):
+            g = np.add.reduceat(g_words[rows], edge, axis=0) - 0.05 * field.weights[used]
+            seen_w += g * g
+            field.weights[used] += (0.5 * g / np.sqrt(seen_w)).astype(np.float32)
         g_moves -= 0.05 * field.moves
         seen_m += g_moves * g_moves
         field.moves += (0.5 * g_moves / np.sqrt(seen_m)).astype(np.float32)

@@ -4,7 +4,7 @@ Sizes are counted in tokens by problem 7's encoder; only ids and sizes are shuff
 their document to groups of about GROUP pieces, and each group is packed by itself: a group wastes at most the
 rest of its last few containers. Within a group only the stock of pieces of each size matters: a container is filled greedily with the
 largest piece that fits; then its smallest piece is replaced with the two pieces in stock that fit the expanded gap
-most tightly, as long as that leaves less room.
+most tightly, as long as that leaves less room. Pieces of less than a sixth of the capacity take no part in that; they fill what is left.
 
 A document larger than the capacity is cut into pieces of exactly the capacity and a rest; no other is split. A
 document without tokens (null or empty text) takes no room: it has one row without container. Repeated ids
@@ -49,32 +49,38 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
             part = below[s:]
             part[part < s] = s
 
-    box, left = 0, len(sizes)
-    while left:
-        gap, inside = capacity, []
-        while gap and (s := int(below[gap])):
+    def fill(gap: int, inside: list[int], least: int) -> int:
+        while gap and (s := int(below[gap])) >= max(1, least):
             take(s)
             inside.append(s)
             gap -= s
-        while gap and inside:
-            small = min(inside)
-            room = gap + small
-            first = np.flatnonzero(stock[: room // 2 + 1])  # the smaller of the two
+        return gap
+
+    small = capacity // 6  # pieces below a sixth only fill what the others leave
+    box, left = 0, len(sizes)
+    while left:
+        inside: list[int] = []
+        gap = fill(capacity, inside, small)
+        while gap and len(inside) > 1:
+            least = min(inside)
+            room = gap + least
+            first = small + np.flatnonzero(stock[small : room // 2 + 1]) if small else np.flatnonzero(stock[: room // 2 + 1])  # the smaller of the two
             if not len(first):
                 break
             second = below[room - first]
             ok = (second > first) | ((second == first) & (stock[first] > 1))
             total = np.where(ok, first + second, 0)
             k = int(np.argmax(total))
-            if total[k] <= small:
+            if total[k] <= least:
                 break
             a, b = int(first[k]), int(second[k])
             take(a)
             take(b)
-            give(small)
-            inside.remove(small)
+            give(least)
+            inside.remove(least)
             inside += [a, b]
             gap = room - a - b
+        fill(gap, inside, 1)
         for s in inside:
             ends[s] -= 1
             out[order[ends[s]]] = box

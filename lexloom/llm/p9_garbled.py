@@ -35,6 +35,8 @@ LOST = "�"
 
 _units = regex.compile(r"[^\r\n]+")
 _sentences = regex.compile(r"(?<=[.!?।؟。！？]) +|(?<=[。！？])")
+_quoted = regex.compile(r"[\"'“”‘’«»„`][^\x00-\x7f]{1,3}[\"'“”‘’«»„`]")
+_scripts = {k: regex.compile(rf"[{v}]") for k, v in {"latin": r"\p{Latin}", "arabic": r"\p{Arabic}", "deva": r"\p{Devanagari}", "han": r"\p{Han}\p{Hiragana}\p{Katakana}", "cyrillic": r"\p{Cyrillic}", "greek": r"\p{Greek}", "hangul": r"\p{Hangul}", "hebrew": r"\p{Hebrew}"}.items()}
 _high = re.compile(r"[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™]{3,}")
 _wide = re.compile(r"[^\x00-\x7f]{2,} ?|[^\x00-\x7f] [^\x00-\x7f]?")
 _han = re.compile(r"[㐀-鿿\ue000-\uf8ff]")
@@ -199,6 +201,15 @@ class Channel:
                 b += 1
         return a, b
 
+    def explains(self, got: str, wide: list[str]) -> bool:
+        """Whether a decoded reading is more than an accident or a quotation: single signs between quotes do not count; letters without a known word must be of one script, and more than a few if it isn't Latin."""
+        if wide and not any(c > "\x7f" and c != LOST and c not in "“”‘’«»„" for c in _quoted.sub("", got)) and _quoted.search(got):
+            return bool(_table("cp1252")[1].search(got))  # a text that quotes such signs, garbled as a whole, quotes them again once decoded
+        scripts = {k for c in wide for k, p in _scripts.items() if p.match(c)}
+        if not scripts or self.known(got)[0]:
+            return True
+        return len(scripts) == 1 and (scripts == {"latin"} or len(wide) >= 6)
+
     def best(self, parts: list) -> tuple[str, int]:
         """The likeliest reading of a lattice by Viterbi over its words, and how many open places no word fills."""
         out, unfilled, i = [], 0, 0
@@ -272,6 +283,8 @@ class Channel:
                 continue
             if page == "gb18030" and (open_ > 0.5 * max(1, len(wide)) or len(wide) < 3):
                 continue
+            if not self.explains(got, wide):
+                continue
             s = self.score(got) - 12 * unfilled - 3 * sum(bool(_odd.match(c)) for c in wide)
             if tried is None or s > tried[2]:
                 tried = (got, unfilled, s)
