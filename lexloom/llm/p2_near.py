@@ -2,10 +2,10 @@
 
 A text's signature has PARTS x WIDTH components of b = 8 bits, each from a minwise hash of its 5-character windows; the
 distance of two signatures is the number of components that differ. The signature is split into PARTS chunks of
-WIDTH components. If at most PARTS * (ERRORS + 1) - 1 = 13 components differ, some chunk has at most ERRORS = 1 differing one
+WIDTH components. If at most PARTS * (ERRORS + 1) - 1 = 15 components differ, some chunk has at most ERRORS = 1 differing one
 (pigeonhole), so each chunk is entered once for each place where the allowed error may be, with that component left out:
-all pairs within distance 13 meet in some entry, and most of those farther off too. At a similarity of exactly 0.8 a pair
-is missed with odds of 0.25 %, at 0.85 with 0.015 %. Pairs that meet are compared by size, then by the whole signature, then exactly.
+all pairs within distance 15 meet in some entry, and most of those farther off too. At a similarity of exactly 0.8 a pair
+is missed with odds of 0.1 %, at 0.85 with 0.004 %. Pairs that meet are compared by size, then by the whole signature, then exactly.
 
 Equal normal forms are collapsed first, so copies meet no one; classes are joined with their members at the end. Entries are
 packed on the map side, many to a row, and dealt by key to buckets of bounded size.
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .base import GRAM, SHORTEST, batches, cut, distinct_sorted, grams, mix, normal_form, shared_counts, spread
 
-PARTS, WIDTH, ERRORS = 7, 7, 1
+PARTS, WIDTH, ERRORS = 8, 7, 1
 SIMILARITY = 0.8
 #: Signatures that differ in more components are not compared exactly: five standard deviations beyond the mean at 0.8.
-FAR = 24
+FAR = 28
 #: Entries of a bucket, texts packed at once, and pairs handed on at once.
 BUCKET, TEXTS, PAIRS = 2_000_000, 40_000, 500_000
 K = PARTS * WIDTH
