@@ -26,10 +26,9 @@ def preprocess(df: DataFrame, id_col: str, text: str = "text", lowercase: bool =
 
 
 def first_of(df: DataFrame, key: str, id_col: str) -> DataFrame:
-    """One row for each key: that with the smallest id. Combined on the map side by the key's hash, so no text is sorted and no hot key is gathered."""
-    cols = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(id_col)).alias("_r"))
-    return best.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    """One row for each key: that with the smallest id. Combined on the map side, by the key's 128-bit hash, so no long text is compared and no hot key is gathered."""
+    best = df.groupBy(F.md5(F.col(key)).alias("_h")).agg(F.min_by(F.struct(*df.columns), F.col(id_col)).alias("_r"))
+    return best.select(*[F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def length_gate(df: DataFrame, text: str = "text", label: str = "label", min_length: int = 10, max_length: int = 1000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import corpus, evaluation, joins, parsing, quality, sampling, selection, windows
+from lexloom.operators import corpus, evaluation, generate, joins, parsing, quality, sampling, selection, windows
 from lexloom.plans.evaluation_plans import PROBS
 from lexloom.plans.text_plans import SPACE, TOKS, _docs, _samples
 
@@ -47,7 +47,21 @@ def _once_calls(s, d):
 
 BATCH = "b0 as (select task_id, samples_per_class n, task_description, class_labels, unnest(case when len(languages) > 0 then languages else ['en'] end) as language from generation_tasks where samples_per_class > 0), b1 as (select *, unnest(class_labels) as label from b0), b2 as (select *, unnest(range(1, (ceil(n / 25) + 1)::BIGINT)) batch_no from b1), b as (select *, least(25, n - (batch_no - 1) * 25)::BIGINT batch_size from b2)"
 
+
+
+def _stub(prompt: str) -> str:
+    """A teacher for tests: fails for one prompt in sixteen, else gives as many samples as the prompt asks for."""
+    import hashlib
+    import json
+
+    h = hashlib.md5(prompt.encode()).hexdigest()
+    if h[0] == "0":
+        raise RuntimeError("no answer")
+    return "Here you are: " + json.dumps([{"text": f"Sample number {i} of {h}", "confidence": 0.9} for i in range(int(prompt.split()[1]))])
+
+
 PLANS: dict[str, tuple] = {
+    "n01_generate": (lambda s, d: generate.generate(_tasks(s, d), _stub).groupBy("task_id").agg(F.count(F.when(F.col("source") == "generated", 1)).alias("n_generated"), F.count(F.when(F.col("source") == "fallback", 1)).alias("n_fallback")), f"with {BATCH}, p as (select task_id, batch_size, 'Write ' || batch_size || ' texts in ' || language || ' of class \"' || label || '\" (classes: ' || array_to_string(class_labels, ', ') || '). Task: ' || coalesce(task_description, '') || '. Answer with a JSON array of objects with text, label and confidence.' prompt from b) select task_id, sum(case when left(md5(prompt), 1) = '0' then 0 else batch_size end)::BIGINT n_generated, sum(case when left(md5(prompt), 1) = '0' then batch_size else 0 end)::BIGINT n_fallback from p group by 1"),
     "g01_with_truth": (lambda s, d: joins.with_truth(evaluation.nearest_centroid(_t("embeddings")(s, d), "vec_id").select("vec_id", "predicted"), _t("embeddings")(s, d), "vec_id"), f"with {PROBS} select vec_id, cl predicted, label true_label from top where k = 1"),
     "g02_similar_pairs": (lambda s, d: corpus.near_pairs(_samples(s, d), "sample_id", threshold=0.95).select("id_a", "id_b"), f"""with d as (select sample_id doc_id, text from samples where text <> ''), x as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '{TOKS}')) w from d), n as (select doc_id, count(*) n from x group by 1),
         key as (select doc_id, string_agg(w, chr(1) order by w) k from x group by 1), rep as (select min(doc_id) r from key group by k), y as (select * from x where doc_id in (select r from rep)), p as (select a.doc_id a, b.doc_id b, count(*) i from y a join y b on a.w = b.w and a.doc_id < b.doc_id group by 1, 2)

@@ -93,3 +93,10 @@ def save_inference(p: DataFrame, path: str, id_col: str, model: str) -> None:
 def export_metrics(metrics: DataFrame) -> DataFrame:
     """One JSON string of a row of measures."""
     return metrics.select(F.to_json(F.struct(*sorted(metrics.columns))).alias("json"))
+
+
+def export_keys(keys: DataFrame, usage: bool = True) -> DataFrame:
+    """Metadata of keys for export: the key itself only masked, its usage only if asked for."""
+    from lexloom.operators.audit import mask
+
+    return keys.select("name", "provider", mask(F.col("key")).alias("masked_key"), "is_active", *(["usage_count"] if usage else []))

@@ -262,3 +262,40 @@ def test_selection(spark):
     rank = spark.createDataFrame([("z", 1), ("c", 2)], "model_name string, rank int")
     assert selection.first_of_ranking(c, rank).first()[0] == "c"
     assert selection.dispatch(selection.candidates(m, perf, provider="none"), "cost", rank, "dflt").first()[0] == "dflt"
+
+
+def test_teacher_is_retried_and_failures_fall_back(spark, tmp_path):
+    from lexloom.operators import generate
+
+    def teacher(prompt):
+        import json
+
+        if '"b"' in prompt.split("(classes")[0]:
+            raise RuntimeError("quota")
+        return json.dumps([{"text": f"a sample with number {i}"} for i in range(30)])
+
+    tasks = spark.createDataFrame([(1, "t", ["a", "b"], 30, ["en"]), (2, None, ["a"], 0, [])], "task_id bigint, task_description string, class_labels array<string>, samples_per_class int, languages array<string>")
+    g = generate.generate(tasks, teacher, retries=2)
+    got = {(r.label, r.source): r["count"] for r in g.groupBy("label", "source").count().collect()}
+    assert got == {("a", "generated"): 30, ("b", "fallback"): 30}
+    assert generate.ask(lambda p: 1 / 0, "x", 3)[1:3] == (3, "ZeroDivisionError: division by zero")
+    assert generate.ask(lambda p: p, "x", until=0)[:3] == (None, 0, "stopped")
+    df, o = generate.observed(generate.respond(spark.createDataFrame([("x",), ("y",)], "prompt string"), lambda p: p))
+    assert df.count() == 2 and o.get["responses"] == 2 and o.get["failed"] == 0
+    assert generate.dataset(tasks, teacher, threshold=0.0).count() > 0
+
+
+def test_exports(spark, tmp_path):
+    import json
+
+    k = spark.createDataFrame([("k1", "p", "abcdefghijklmnop", True, 3), ("k2", "p", "short", False, 0)], "name string, provider string, key string, is_active boolean, usage_count bigint")
+    assert sorted(r.masked_key for r in writers.export_keys(k, usage=False).collect()) == ["*****", "abcd********mnop"]
+    p = spark.createDataFrame([(1, "a", 0.9, [("a", 0.9), ("b", 0.1)])], "id int, predicted string, confidence double, top_k array<struct<label: string, p: double>>")
+    writers.save_inference(p, f"{tmp_path}/r.csv", "id", "m")
+    r = spark.read.csv(f"{tmp_path}/r.csv", header=True).first()
+    assert r.top_2_label == "b" and r.top_3_label is None
+    writers.save_inference(p, f"{tmp_path}/r.json", "id", "m")
+    assert json.loads((tmp_path / "r.json.metadata.json").read_text()) == {"model": "m", "n": 1}
+    assert readers.read(spark, f"{tmp_path}/r.json", "predicted", "confidence").count() == 1
+    writers.save_inference(p, f"{tmp_path}/r.jsonl", "id", "m")
+    assert spark.read.json(f"{tmp_path}/r.jsonl").count() == 1
