@@ -16,6 +16,9 @@ You can reach {name} on {phone}.
 {title} {title_name} asked for a refund.
 {title} {title_name} is waiting.
 Signed by Dr. {title_name}.
+Signed by Dr. {title_name}. Version 3.{c} of the app is out.
+Approved by {title} {title_name}. The {noun} from {w} repaired the quiet mode.
+{title} {title_name} signed it.
 The author is {name}; the reviewer was {name}.
 Customer: {name} <{email}>
 Customer: {name}, {phone}
