@@ -33,5 +33,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Distinct windows of the normal forms, and exact joins over them; the second one meets texts by the rarest windows that a partner must share.
+_GRAMS = """n as (select sample_id, task_id, split, trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'), ' ') t from samples where text is not null), d as (select * from n where length(t) >= 20),
+    u as (select t, min(sample_id) id from d group by 1), g as (select distinct id, unnest(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) g from u), z as (select id, count(*) k from g group by 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"""with {_GRAMS}, m as (select sample_id, task_id, split, id from d join u using (t)), c as (select a.sample_id x, b.sample_id y, a.id i, b.id j from m a join m b on a.task_id = b.task_id and a.split = 'train' and b.split in ('val', 'validation', 'test')),
+            p as (select distinct i, j from c where i <> j), s as (select i, j, count(*) common from p join g a on a.id = i join g b on b.id = j and b.g = a.g group by 1, 2), ok as (select i, j from s join z zi on zi.id = i join z zj on zj.id = j where common >= 0.7 * (zi.k + zj.k - common) - 1e-9)
+            select distinct least(x, y) sample_id_a, greatest(x, y) sample_id_b from c where i = j or (i, j) in (select (i, j) from ok)""",
+        "p2_found": f"""with {_GRAMS}, f as (select g, count(*) f from g group by 1), r as (select id, g, row_number() over (partition by id order by f, g) rk from g join f using (g)), pre as (select id, g from r join z using (id) where rk <= k - ceil(0.8 * k - 1e-9) + 1),
+            p as (select distinct a.id i, b.id j from pre a join pre b on a.g = b.g and a.id < b.id), s as (select i, j, count(*) common from p join g a on a.id = i join g b on b.id = j and b.g = a.g group by 1, 2),
+            ok as (select i, j from s join z zi on zi.id = i join z zj on zj.id = j where common >= 0.8 * (zi.k + zj.k - common) - 1e-9), m as (select sample_id, id from d join u using (t))
+            select least(a.sample_id, b.sample_id) sample_id_a, greatest(a.sample_id, b.sample_id) sample_id_b from ok join m a on a.id = i join m b on b.id = j union all select a.sample_id, b.sample_id from m a join m b on a.id = b.id and a.sample_id < b.sample_id""",
+    }
