@@ -38,6 +38,15 @@ _GRAMS = """n as (select sample_id, task_id, split, trim(regexp_replace(lower(te
     u as (select t, min(sample_id) id from d group by 1), g as (select distinct id, unnest(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) g from u), z as (select id, count(*) k from g group by 1)"""
 
 
+_PLAIN = "regexp_replace(lower({x}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
+_NAME = "^[\\s\\p{{Z}}]*(\\p{{L}}[\\p{{L}}\\p{{M}}]*)[\\s\\p{{Z}}]*[:：]".replace("{{", "{").replace("}}", "}")
+#: Canonical forms: the pairs of JSON objects and of `name: value` fields, or the letters, marks and numbers.
+_FORMS = f"""t as (select sample_id, text, regexp_replace(text, '^[\\s\\p{{Z}}\\p{{Cf}}]+|[\\s\\p{{Z}}\\p{{Cf}}]+$', '', 'g') b, list_filter(regexp_split_to_array(text, '[|\\r\\n]+'), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}]')) f from samples where text is not null),
+    q as (select *, case when starts_with(b, '{{') and json_valid(b) then list_transform(json_keys(b), lambda k: {_PLAIN.format(x="k")} || '=' || {_PLAIN.format(x="json_extract_string(b, '$.' || k)")})
+        when len(f) >= 2 and len(list_filter(f, lambda x: regexp_matches(x, '{_NAME}'))) = len(f) then list_transform(f, lambda x: {_PLAIN.format(x=f"regexp_extract(x, '{_NAME}', 1)")} || '=' || {_PLAIN.format(x=f"regexp_replace(x, '{_NAME}', '')")}) end pairs, {_PLAIN.format(x="text")} p from t),
+    forms as (select sample_id, case when p = '' then null when pairs is not null then 'R' || array_to_string(list_sort(list_distinct(pairs)), '|') else 'T' || p end c from q)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""with {_GRAMS}, m as (select sample_id, task_id, split, id from d join u using (t)), c as (select a.sample_id x, b.sample_id y, a.id i, b.id j from m a join m b on a.task_id = b.task_id and a.split = 'train' and b.split in ('val', 'validation', 'test')),
@@ -47,4 +56,6 @@ def oracle_sql() -> dict[str, str]:
             p as (select distinct a.id i, b.id j from pre a join pre b on a.g = b.g and a.id < b.id), s as (select i, j, count(*) common from p join g a on a.id = i join g b on b.id = j and b.g = a.g group by 1, 2),
             ok as (select i, j from s join z zi on zi.id = i join z zj on zj.id = j where common >= 0.8 * (zi.k + zj.k - common) - 1e-9), m as (select sample_id, id from d join u using (t))
             select least(a.sample_id, b.sample_id) sample_id_a, greatest(a.sample_id, b.sample_id) sample_id_b from ok join m a on a.id = i join m b on b.id = j union all select a.sample_id, b.sample_id from m a join m b on a.id = b.id and a.sample_id < b.sample_id""",
+        "p4_found": f"""with {_FORMS} select a sample_id_a, sample_id sample_id_b from (select sample_id, min(sample_id) over (partition by c) a from forms where c is not null) where sample_id <> a""",
+        "p4_collapsed": f"""with {_FORMS} select min(sample_id) sample_id, count(*) copies from forms where c is not null group by c""",
     }
