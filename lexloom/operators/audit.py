@@ -75,13 +75,17 @@ def limited(calls: DataFrame, api: str, ts: str, tie: str, seconds: int = 60, li
     """calls with allowed: fewer than `limit` allowed calls of the api in the last `seconds`; denied calls do not count.
 
     The rule runs from call to call, but a pause of `seconds` clears it: each api's calls are split at such pauses, and the pieces are
-    worked through by themselves. A piece must fit into a task; one api without a pause is one piece.
+    worked through by themselves. A piece must fit into a task; one api without a pause is one piece. Calls without a time are left out.
     """
     us = seconds * 1_000_000
-    w = Window.partitionBy(api).orderBy(ts, tie)
-    d = calls.withColumn("_us", micros(F.col(ts)))
-    d = d.withColumn("_new", F.coalesce((F.col("_us") - F.lag("_us").over(w) >= us).cast("int"), F.lit(1)))
-    d = d.withColumn("_piece", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = _near_before(calls, api, ts, us)
+    tied = F.coalesce(F.lag("_us").over(Window.partitionBy(api, "_b").orderBy("_us", tie)) == F.col("_us"), F.lit(False))
+    d = d.withColumn("_new", ((F.col("_before") == 0) & ~tied).cast("int"))
+    # pieces are numbered within spans of the limit's length, and each span starts where the ones before end
+    spans_ = d.groupBy(api, "_b").agg(F.sum("_new").alias("_s"))
+    below = spans_.select(api, "_b", F.coalesce(F.sum("_s").over(Window.partitionBy(api).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    inside = F.sum("_new").over(Window.partitionBy(api, "_b").orderBy("_us", tie).rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_in", inside).join(below, [api, "_b"]).withColumn("_piece", F.col("_in") + F.col("_below")).select(*calls.columns, "_us", "_piece")
     schema = calls.schema.add("allowed", "boolean")
 
     def run(pdf):
@@ -96,16 +100,26 @@ def limited(calls: DataFrame, api: str, ts: str, tie: str, seconds: int = 60, li
             if ok:
                 log.append(t)
             out.append(ok)
-        return pdf.drop(columns=["_us", "_new", "_piece"]).assign(allowed=out)
+        return pdf.drop(columns=["_us", "_piece"]).assign(allowed=out)
 
     return d.groupBy(api, "_piece").applyInPandas(run, schema)
 
 
+def _near_before(calls: DataFrame, api: str, ts: str, us: int) -> DataFrame:
+    """calls with _us, _b (span of `us`), _recent (calls of the last `us`, this one and ties included) and _before (those strictly before it).
+
+    A row looks back no further than the span before its own, so each span is worked on with the one before it, and a busy api is many tasks' work.
+    """
+    d = calls.withColumn("_us", micros(F.col(ts))).withColumn("_b", F.floor(F.col("_us") / us))
+    d = d.withColumn("_k", F.explode(F.array("_b", F.col("_b") + 1)))
+    w = Window.partitionBy(api, "_k").orderBy("_us")
+    d = d.withColumn("_recent", F.count("*").over(w.rangeBetween(-us + 1, 0))).withColumn("_before", F.count("*").over(w.rangeBetween(-us + 1, -1)))
+    return d.where("_k = _b").drop("_k")
+
+
 def window_counts(calls: DataFrame, api: str, ts: str, seconds: int = 60) -> DataFrame:
     """calls with the number of calls of the api in the last `seconds`, denied or not."""
-    us = seconds * 1_000_000
-    w = Window.partitionBy(api).orderBy("_us").rangeBetween(-us + 1, 0)
-    return calls.withColumn("_us", micros(F.col(ts))).withColumn("recent_calls", F.count("*").over(w)).drop("_us")
+    return _near_before(calls, api, ts, seconds * 1_000_000).withColumn("recent_calls", F.col("_recent")).select(*calls.columns, "recent_calls")
 
 
 def export_policy(size_mb: Column, limit: float = 100.0, enabled: bool = True, approval: bool = False) -> Column:

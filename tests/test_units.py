@@ -299,3 +299,23 @@ def test_exports(spark, tmp_path):
     assert readers.read(spark, f"{tmp_path}/r.json", "predicted", "confidence").count() == 1
     writers.save_inference(p, f"{tmp_path}/r.jsonl", "id", "m")
     assert spark.read.json(f"{tmp_path}/r.jsonl").count() == 1
+
+
+def test_limiter_equals_a_plain_log(spark):
+    import random
+
+    r = random.Random(5)
+    t, rows = 0, []
+    for i in range(600):
+        t += r.choice([0, 0, 1, 5, 5, 20, 61, 60, 130]) * r.choice([1, 1, 1_000_000, 1_000_000])
+        rows.append((i, datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=t), r.choice("ab")))
+    rows.append((999, None, "a"))
+    want, log = {}, {"a": [], "b": []}
+    for i, ts, a in rows[:-1]:
+        log[a] = [x for x in log[a] if x > ts - datetime.timedelta(seconds=60)]
+        want[i] = len(log[a]) < 4
+        if want[i]:
+            log[a].append(ts)
+    d = spark.createDataFrame(rows, "event_id bigint, ts timestamp, event_type string")
+    assert {x.event_id: x.allowed for x in audit.limited(d, "event_type", "ts", "event_id", 60, 4).collect()} == want
+    assert set(want.values()) == {True, False}
