@@ -26,7 +26,7 @@ HOT, SALT = 2000, 64
 _drop = regex.compile(DROP)
 _breaks = regex.compile(r"[|\r\n  \u0085]+")
 _field = regex.compile(r"\s*(\p{L}[\p{L}\p{M}]*)\s*[:：](.*)", regex.S)
-_blank = regex.compile(r"[\s​‌‍﻿­]+")
+_edges = regex.compile(r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$")
 
 
 def _plain(value: object) -> str:
@@ -53,18 +53,16 @@ def record_form(text: str | None) -> str | None:
     """The canonical form of a record of named fields; None if the text is no such record."""
     if text is None:
         return None
-    s = _blank.sub(" ", text).strip() if text[:1] not in "{" else text.strip()
+    s = _edges.sub("", text)
     pairs: list | None = None
-    if s.startswith("{") or text.lstrip("﻿​ \t\r\n").startswith("{"):
+    if s.startswith("{"):
         try:
-            got = json.loads(text.strip().strip("﻿​"), strict=False, object_pairs_hook=_Pairs, parse_float=_number, parse_int=_number)
+            got = json.loads(s, strict=False, object_pairs_hook=_Pairs, parse_float=_number, parse_int=_number)
             pairs = list(got) if isinstance(got, _Pairs) else None
-        except ValueError:
-            pairs = None
-        except RecursionError:
+        except (ValueError, RecursionError):
             pairs = None
     if pairs is None:
-        parts = [p for p in _breaks.split(text) if p.strip()]
+        parts = [p for p in (_edges.sub("", x) for x in _breaks.split(s)) if p]
         found = [_field.fullmatch(p) for p in parts]
         if len(parts) < 2 or not all(found):
             return None
@@ -79,7 +77,7 @@ def _record_form(text: pd.Series) -> pd.Series:
 
 def canonical(text: Column) -> Column:
     """Canonical form; null where the text has no letter, mark or number. Only texts that can be records go to Python."""
-    may = text.rlike(r"^[\s\x{200b}\x{feff}]*\{") | text.rlike(r"^\s*\p{L}[\p{L}\p{M}]*\s*[:：]")
+    may = text.rlike(r"^[\s\p{Z}\p{Cf}]*(?:\{|\p{L}[\p{L}\p{M}]*[\s\p{Z}]*[:：])")
     plain = F.regexp_replace(F.lower(text), DROP, "")
     record = _record_form(F.when(may, text))
     return F.when(plain == "", None).otherwise(F.coalesce(F.concat(F.lit("R\x1e"), record), F.concat(F.lit("T"), plain)))
