@@ -42,8 +42,8 @@ LAST_NAMES = frozenset("Smith Johnson Williams Brown Jones Garcia Miller Davis R
 BLOCKING = ("ssn", "credit_card", "passport")
 
 MATCHES = ArrayType(StructType([StructField("pii_type", StringType()), StructField("text", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("confidence", DoubleType())]))
-#: What every text with a match holds: a digit, an @, a dot between letters, or two capitalised words.
-MAY = r"\d|@|[A-Za-z]\.[A-Za-z]{2}|://|[A-Z][a-z]+\.? [A-Z]"
+#: What every text with a match holds: a digit, an @, a dot before letters, signs of addresses, or two capitalised words.
+MAY = r"\d|@|\.[A-Za-z]{2}|://|(?i:www\.)|:[0-9a-fA-F]{1,4}:|[A-Z][a-z]+\.? [A-Z]"
 
 
 def luhn(digits: str) -> bool:

@@ -56,18 +56,18 @@ def vocabulary_consistency(ltoks: Column) -> Column:
     return (n < 5) | (F.size(F.array_distinct(ltoks)) / F.nullif(n, F.lit(0))).between(0.3, 0.9)
 
 
-def toxic(ltoks: Column) -> Column:
-    return F.arrays_overlap(ltoks, T.literals(T.TOXIC))
+def toxic(ltoks: Column, words: tuple[str, ...] = T.TOXIC) -> Column:
+    return F.arrays_overlap(ltoks, T.literals(words))
 
 
-def richness(ltoks: Column) -> Column:
-    content = F.filter(ltoks, lambda w: (F.length(w) > 2) & ~F.array_contains(T.literals(T.STOPWORDS), w))
+def richness(ltoks: Column, stopwords: tuple[str, ...] = T.STOPWORDS) -> Column:
+    content = F.filter(ltoks, lambda w: (F.length(w) > 2) & ~F.array_contains(T.literals(stopwords), w))
     n, k = F.size(ltoks), F.size(content)
     return F.when(k > 0, (F.size(F.array_distinct(content)) / k + k / n) / 2).otherwise(0.0)
 
 
-def score(df: DataFrame, text: str = "text", low: int = 10, high: int = 1000) -> DataFrame:
-    """df with the scores and flags of each row, and quality_score.
+def score(df: DataFrame, text: str = "text", low: int = 10, high: int = 1000, stopwords: tuple[str, ...] = T.STOPWORDS, toxic_words: tuple[str, ...] = T.TOXIC) -> DataFrame:
+    """df with the scores and flags of each row, and quality_score. The word lists are English; other languages need their own (`die` is a German article).
 
     The text is split once; nothing is shuffled. Null and empty texts have 0 in every score; very long texts are scored as a whole.
     """
@@ -84,9 +84,9 @@ def score(df: DataFrame, text: str = "text", low: int = 10, high: int = 1000) ->
         flow_ok=logical_flow(sents),
         vocabulary_ok=vocabulary_consistency(ltoks),
         has_pii=T.any_personal(t),
-        is_toxic=toxic(ltoks),
+        is_toxic=toxic(ltoks, toxic_words),
         bias_score=T.bias_score(low_t),
-        richness=richness(ltoks),
+        richness=richness(ltoks, stopwords),
         _n=F.size(sents),
     )
     marks = sum((F.col(c).cast("int") for c in ("tense_ok", "punctuation_ok", "flow_ok", "vocabulary_ok")), F.lit(0))

@@ -79,7 +79,7 @@ PLANS: dict[str, tuple] = {
     "l15_patience": (lambda s, d: _tasks(s, d).select("task_id", E.early_stop_patience(F.col("max_retries") * 10).cast("bigint").alias("patience")), "select task_id, greatest(2, least(10, floor(0.25 * max_retries * 10)))::BIGINT patience from generation_tasks"),
     "l16_size_mb": (lambda s, d: s.read.parquet(f"{d}/model_info.parquet").select("model_name", F.round(E.size_mb(F.col("context_length") * 1000), 6).alias("mb")), "select model_name, round(context_length * 1000 * 4 / 1048576, 6) mb from model_info"),
     "l17_epochs": (lambda s, d: _r(E.epoch_metrics(s.read.parquet(f"{d}/events.parquet").select(F.pmod("user_id", F.lit(10)).alias("epoch"), F.when(F.col("event_type") != "error", F.col("value")).alias("loss")))), "select user_id % 10 epoch, round(coalesce(sum(case when event_type <> 'error' then value end), 0) / count(*), 6) loss, count(*) n_batches from events group by 1"),
-    "l14_report_lines": (lambda s, d: E.report_lines(E.summary(_p(s, d))), None),
+    "l14_report_lines": (lambda s, d: E.report_lines(E.summary(_p(s, d))).select(F.col("line_no").cast("bigint").alias("line_no"), "line"), f"with {CLASSES}, m as (select [sum(hits) / sum(support), avg(precision), avg(recall), avg(f1), sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(hits) / sum(predicted)] v from cls) select i line_no, printf('%-20s%10.4f', ['accuracy', 'precision_macro', 'recall_macro', 'f1_macro', 'precision_weighted', 'recall_weighted', 'f1_weighted', 'f1_micro'][i + 1], v[i + 1]) line from m, (select unnest(range(8)) i)"),
     "l18_registry": (lambda s, d: E.registry(s.read.parquet(f"{d}/model_info.parquet").select("model_name", F.to_json(F.struct((F.col("context_length") * 1000).alias("params"), F.array(F.lit("a"), F.lit("b")).alias("labels"), F.col("provider").alias("architecture"))).alias("meta"))).select("model_name", "params", F.round("size_mb", 6).alias("size_mb"), F.col("n_labels").cast("bigint").alias("n_labels"), "architecture"), "select model_name, context_length::BIGINT * 1000 params, round(context_length::BIGINT * 4000 / 1048576, 6) size_mb, 2::BIGINT n_labels, provider architecture from model_info"),
     "l19_metric_line": (lambda s, d: E.metric_line(E.summary(_p(s, d))), f"with {CLASSES} select printf('accuracy=%.4f, f1_macro=%.4f, f1_weighted=%.4f', sum(hits) / sum(support), avg(f1), sum(f1 * support) / sum(support)) line from cls"),
 }

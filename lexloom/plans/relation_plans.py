@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import corpus, evaluation, generate, joins, parsing, quality, sampling, selection, windows
 from lexloom.plans.evaluation_plans import PROBS
-from lexloom.plans.text_plans import SPACE, TOKS, _docs, _samples
+from lexloom.plans.text_plans import SPACE, TOKS, _docs, _samples, scores_sql
 
 
 def _t(name):
@@ -89,7 +89,7 @@ PLANS: dict[str, tuple] = {
     "i02_ordered_distinct": (lambda s, d: _docs(s, d).where("text is not null").select("doc_id", F.md5(F.array_join(F.array_distinct(T.tokens(F.lower("text"))), "|")).alias("digest")), f"with t as (select doc_id, regexp_extract_all(lower(text), '{TOKS}') t from documents where text is not null), e as (select doc_id, unnest(t) w, generate_subscripts(t, 1) k from t), f as (select doc_id, w, min(k) k from e group by 1, 2) select doc_id, md5(coalesce(string_agg(w, '|' order by k), '')) digest from t left join f using (doc_id) group by 1"),
     "i03_token_overlap": (lambda s, d: _r(_samples(s, d).where("original_text is not null and text is not null").select("sample_id", windows.overlap(T.tokens(F.lower("text")), T.tokens(F.lower("original_text"))).alias("overlap"))), f"select sample_id, round(len(list_distinct(list_intersect(a, b))) / nullif(len(list_distinct(a || b)), 0), 6) overlap from (select sample_id, regexp_extract_all(lower(text), '{TOKS}') a, regexp_extract_all(lower(original_text), '{TOKS}') b from samples where original_text is not null and text is not null)"),
     "i04_high_risk": (lambda s, d: _t("pii_matches")(s, d).groupBy("result_id").agg(F.collect_set("pii_type").alias("types")).select("result_id", F.arrays_overlap("types", F.array(F.lit("ssn"), F.lit("passport"), F.lit("credit_card"))).alias("high_risk")), "select result_id, bool_or(pii_type in ('ssn', 'passport', 'credit_card')) high_risk from pii_matches group by 1"),
-    "i05_adjacent_sentences": (lambda s, d: quality.score(_docs(s, d)).select("doc_id", "flow_ok"), None),
+    "i05_adjacent_sentences": (lambda s, d: quality.score(_docs(s, d)).select("doc_id", "flow_ok"), f"with {scores_sql()} select doc_id, flow_ok from s"),
     "i06_moving_mean": (lambda s, d: _r(windows.moving_mean(_events(s, d), "user_id", ["ts", "event_id"], "value").select("event_id", "moving_mean")), "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 9 preceding and current row), 6) moving_mean from events"),
     "i07_patience": (lambda s, d: _r(windows.patience(_events(s, d), "user_id", ["ts", "event_id"], "value").select("event_id", "best", "improved", "waited")), "with a as (select *, max(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) b, row_number() over (partition by user_id order by ts, event_id) k from events), c as (select *, b is null or value > b improved from a) select event_id, round(greatest(b, value), 6) best, improved, k - max(case when improved then k end) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) waited from c"),
     "i08_progress": (lambda s, d: _r(windows.progress(_events(s, d), "user_id", "ts", ["ts", "event_id"], 100).select("event_id", "done", "fraction", "per_minute")), "with a as (select event_id, count(*) over (partition by user_id order by ts, event_id rows unbounded preceding) done, (epoch_us(ts) - epoch_us(min(ts) over (partition by user_id))) / 1e6::DOUBLE s from events) select event_id, done, round(done / 100, 6) fraction, round(coalesce(done / nullif(s, 0) * 60, 0), 6) per_minute from a"),
