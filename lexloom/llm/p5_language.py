@@ -262,6 +262,10 @@ def segments(words: list[str], post: np.ndarray, known: np.ndarray) -> list[tupl
 def fit(samples: DataFrame) -> Field:
     """The model, from at most SAMPLE labelled rows."""
     rows = samples.where("text is not null and language is not null").select("sample_id", "text", named(F.col("language")).alias("code")).where("code is not null")
+    # only hashes among which there are some four times as many rows as needed, so that not every task sends SAMPLE rows to the driver
+    share = 4 * SAMPLE / max(1, rows.count())
+    if share < 0.5:
+        rows = rows.where(F.xxhash64("sample_id") <= F.lit(int(-(2**63) + share * 2**64)))
     top = rows.orderBy(F.xxhash64("sample_id"), "sample_id", "text").limit(SAMPLE).select("text", "code")
     return train([(r["text"], r["code"]) for r in top.collect()])  # SAMPLE rows
 
