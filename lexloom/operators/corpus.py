@@ -212,7 +212,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 def analysis(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Text and token lengths (mean, population deviation, min, max, median) and the balance of the classes."""
-    n, k = F.length(text), F.size(T.tokens(text))
+    n, k = F.length(text).cast("bigint"), F.size(T.tokens(text)).cast("bigint")
     d = T.spread(_texts(df, text), text).select(n.alias("n"), k.alias("k"))
     out = d.agg(*[f(c).alias(f"{name}_{c2}") for c, c2 in (("n", "chars"), ("k", "tokens")) for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max), ("median", F.median))])
     return out.crossJoin(class_balance(df, label))
