@@ -108,7 +108,7 @@ def softmax(a: Column, temperature: float = 1.0) -> Column:
 def soft_loss(teacher: Column, student: Column, target: Column, temperature: float = 2.0, wd: float = 0.7, ws: float = 0.3) -> Column:
     """struct(kl, ce, total): KL of the softened teacher to the softened student times T^2, cross-entropy with the target index (from 0), and their weighted sum."""
     t, s = softmax(teacher, temperature), softmax(student, temperature)
-    kl = F.aggregate(F.zip_with(t, s, lambda a, b: a * (F.log(a) - F.log(b))), F.lit(0.0), lambda x, y: x + y) * temperature**2
+    kl = F.aggregate(F.zip_with(t, s, lambda a, b: F.when(a > 0, a * (F.log(a) - F.log(F.greatest(b, F.lit(1e-300))))).otherwise(0.0)), F.lit(0.0), lambda x, y: x + y) * temperature**2
     ce = -F.log(F.get(softmax(student), target))
     return F.struct(kl.alias("kl"), ce.alias("ce"), (wd * kl + ws * ce).alias("total"))
 

@@ -60,7 +60,15 @@ def _student(s, d):
     return model.transform(rows).select("sample_id", F.col("label_id"), F.col("prediction").cast("bigint").alias("predicted"))
 
 
+def _standard(s, d):
+    """The same labels with a naive Bayes model on the hard labels."""
+    rows = s.read.parquet(f"{d}/samples.parquet").where("label in ('positive', 'negative', 'neutral') and text is not null").select("sample_id", "text", "label")
+    rows = sampling.encode_labels(rows)
+    return E.train_hard(rows, "label_id").transform(rows).select("sample_id", "label_id", F.col("prediction").cast("bigint").alias("predicted"))
+
+
 PLANS: dict[str, tuple] = {
+    "l13_standard": (_standard, None),
     "l01_summary": (lambda s, d: _r(E.summary(_p(s, d))), f"with {CLASSES} select round(sum(hits) / sum(support), 6) accuracy, round(avg(precision), 6) precision_macro, round(avg(recall), 6) recall_macro, round(avg(f1), 6) f1_macro, round(sum(precision * support) / sum(support), 6) precision_weighted, round(sum(recall * support) / sum(support), 6) recall_weighted, round(sum(f1 * support) / sum(support), 6) f1_weighted, round(sum(hits) / sum(predicted), 6) f1_micro from cls"),
     "l01_per_class": (lambda s, d: _r(E.per_class(_p(s, d))), f"with {CLASSES} select label, support, predicted, hits, round(precision, 6) as precision, round(recall, 6) recall, round(f1, 6) f1 from cls"),
     "l02_confusion": (lambda s, d: E.confusion(_p(s, d)), f"with {PROBS} select truth, predicted, count(*) n from pd group by 1, 2"),

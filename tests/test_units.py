@@ -319,3 +319,16 @@ def test_limiter_equals_a_plain_log(spark):
     d = spark.createDataFrame(rows, "event_id bigint, ts timestamp, event_type string")
     assert {x.event_id: x.allowed for x in audit.limited(d, "event_type", "ts", "event_id", 60, 4).collect()} == want
     assert set(want.values()) == {True, False}
+
+
+def test_students_learn(spark):
+    rows = [(i, ("red apple pear " if i % 2 else "fast car truck ") * 3 + str(i), i % 2) for i in range(60)]
+    d = spark.createDataFrame(rows, "id int, text string, label_id int").withColumn("teacher", F.when(F.col("label_id") == 1, F.array(F.lit(0.2), F.lit(0.8))).otherwise(F.array(F.lit(0.9), F.lit(0.1))))
+    for model in (evaluation.train_student(d, "teacher", "label_id"), evaluation.train_hard(d, "label_id")):
+        assert model.transform(d).where("prediction = label_id").count() == 60
+
+
+def test_soft_loss_is_zero_for_equal_students(spark):
+    d = spark.createDataFrame([([1.0, 2.0, 1000.0], [1.0, 2.0, 1000.0])], "t array<double>, s array<double>")
+    x = d.select(evaluation.soft_loss(F.col("t").cast("array<double>"), F.col("s"), F.lit(2)).alias("x"), evaluation.feature_loss(F.col("t"), F.col("s")).alias("f")).first()
+    assert abs(x.x.ce) < 1e-9 and abs(x.f) < 1e-12
