@@ -210,7 +210,7 @@ def found(samples: DataFrame) -> DataFrame:
     member = cut(classes(keys))
     x = member.select(F.col("rep").alias("a"), F.col("id").alias("x"))
     y = member.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = links.select("a", "b").join(x, "a").join(y, "b").select(F.least("x", "y").alias("sample_id_a"), F.greatest("x", "y").alias("sample_id_b"))
+    across = links.select("a", "b").join(x, "a").join(y, "b").select(F.least("x", "y").alias("sample_id_a"), F.greatest("x", "y").alias("sample_id_b")).where("sample_id_a < sample_id_b")
     many = member.where("id <> rep")
     # equal texts: each member but the representative with the representative, and with the members that follow it
     within = many.select("rep", "id").unionAll(many.select("rep", F.col("rep").alias("id")).distinct())

@@ -218,7 +218,7 @@ def cleaned(text: str, values: list[tuple[int, int, str]]) -> str:
 
 def lists(lexicon: DataFrame) -> tuple[list[str], list[str]]:
     """Given and family names; the lexicon is a small fixed list."""
-    rows = sorted({(r["kind"], r["entry"]) for r in lexicon.where("entry is not null").select("kind", "entry").collect()})
+    rows = sorted({(r["kind"], r["entry"]) for r in lexicon.where("entry is not null and kind is not null").select("kind", "entry").collect()})
     return [e for k, e in rows if k == "given"], [e for k, e in rows if k == "family"]
 
 

@@ -4,7 +4,7 @@ Texts are split by the vocabulary's public pattern. Of each distinct piece of an
 entry itself, the byte symbols are the leaves of a segment tree whose node holds the smallest (rank, position) of the
 adjacent pairs below it. The root is thus the leftmost pair of lowest rank; merging it changes three leaves, each a
 logarithmic update, until the root holds no pair. The trees of all pieces of about the same length are the rows of one
-numpy array and are merged in step.
+numpy array and are merged in step; where there are only a few of a length, each is a plain list.
 
 An empty and a null text have the empty list; the result has one row for each input row, in no order; very long texts
 need memory in proportion to the batch they are in. Lone surrogates, which Spark cannot hold, do not occur.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .base import spread
 
-#: Where the vocabularies are, and their rank file. CACHE: pieces that a worker remembers.
-TOKENIZERS, RANKS, CACHE = "/opt/tokenizers", "byte_bpe_50k.tiktoken", 400_000
+#: Where the vocabularies are, and their rank file. CACHE: pieces that a worker remembers. FEW: trees for which numpy does not pay.
+TOKENIZERS, RANKS, CACHE, FEW = "/opt/tokenizers", "byte_bpe_50k.tiktoken", 400_000, 20
 #: Fixed value: the split pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int64(1) << 62
@@ -45,6 +45,7 @@ class Encoder:
                 a, b = self.ids.get(token[:k]), self.ids.get(token[k:])
                 if a is not None and b is not None:
                     pairs[a * self.base + b] = rank
+        self.pairs = pairs
         keys = np.fromiter(pairs.keys(), np.uint64, len(pairs))
         # an open hash table: linear probes in an array four times as large
         self.bits = int(np.ceil(np.log2(4 * len(keys))))
@@ -81,6 +82,47 @@ class Encoder:
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def merge_one(self, piece: bytes) -> list[int]:
+        """Ids of one piece."""
+        n = len(piece)
+        width, none, base, pairs = 1 << max(0, n - 1).bit_length(), int(NONE), self.base, self.pairs
+        symbol, after, before = [int(self.byte[b]) for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
+        tree = [none] * (2 * width)
+        for i in range(n - 1):
+            r = pairs.get(symbol[i] * base + symbol[i + 1])
+            if r is not None:
+                tree[width + i] = r * width + i
+        for i in range(width - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+        def put(leaf: int, rank: int | None) -> None:
+            i = leaf + width
+            tree[i] = none if rank is None else rank * width + leaf
+            i >>= 1
+            while i:
+                a, b = tree[2 * i], tree[2 * i + 1]
+                a = a if a < b else b
+                if tree[i] == a:
+                    return
+                tree[i] = a
+                i >>= 1
+
+        while tree[1] < none:
+            rank, at = divmod(tree[1], width)
+            gone = after[at]
+            symbol[at], symbol[gone] = rank, -1
+            following = after[gone]
+            after[at] = following
+            put(gone, None)
+            if following < n:
+                before[following] = at
+                put(at, pairs.get(rank * base + symbol[following]))
+            else:
+                put(at, None)
+            if (previous := before[at]) >= 0:
+                put(previous, pairs.get(symbol[previous] * base + rank))
+        return [x for x in symbol if x >= 0]
+
     def merge(self, pieces: list[bytes], width: int) -> list[list[int]]:
         """Ids of pieces of at most `width` bytes (a power of two)."""
         n = len(pieces)
@@ -142,6 +184,10 @@ class Encoder:
             else:
                 by.setdefault(1 << (len(b) - 1).bit_length(), []).append((p, b))
         for width, some in by.items():
+            if len(some) < FEW:
+                for p, b in some:
+                    self.known[p] = self.merge_one(b)
+                continue
             step = max(1, 1_000_000 // width)
             for s in range(0, len(some), step):
                 for (p, _), ids in zip(some[s : s + step], self.merge([b for _, b in some[s : s + step]], width)):

@@ -148,3 +148,13 @@ def test_hot_sets_are_salted(spark, monkeypatch):
 def test_collisions_do_not_merge(spark):
     keys = spark.createDataFrame([(1, bytearray(b"h"), 5, 3), (2, bytearray(b"h"), 6, 3), (3, bytearray(b"h"), 5, 3)], "id bigint, h binary, chk bigint, len int")
     assert [(r.first, r.id) for r in p4_canonical.surplus(keys).collect()] == [(1, 3)]
+
+
+def test_nulls_in_any_column(spark):
+    text = "the same text in every one of these rows"
+    rows = [(i, 1, text, None, None, None, s, None, None, None, None) for i, s in enumerate(["train", "test", None, "val"])]
+    rows += [(None, 1, text, None, None, None, "train", None, None, None, None), (9, None, text, None, None, None, "test", None, None, None, None), (None,) * 11]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in p1_overlap.found(df).collect()} == {(0, 1), (0, 3)}
+    assert p2_near.found(df).count() == 10
+    assert {tuple(r) for r in p4_canonical.found(df).collect()} == {(0, i) for i in (1, 2, 3, 9)}

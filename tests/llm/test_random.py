@@ -68,3 +68,11 @@ def test_overlaps(train, evaluation):
 def test_copies_have_one_signature(text):
     sig, size = p2_near.signatures([text, text, "short"])
     assert (sig[0] == sig[1]).all() and size[0] == size[1] == len({text[i : i + 5] for i in range(len(text) - 4)})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=2, max_size=80))
+def test_one_tree_equals_many(encoders, piece):
+    own, _ = encoders
+    width = 1 << (len(piece) - 1).bit_length()
+    assert own.merge_one(piece) == own.merge([piece, piece], width)[1]
