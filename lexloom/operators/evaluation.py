@@ -178,7 +178,7 @@ def metric_line(s: DataFrame) -> DataFrame:
 
 
 def train_student(rows: DataFrame, teacher: str, label_id: str, text: str = "text", alpha: float = 0.7, features: int = 1 << 14):
-    """A logistic regression on hashed words that follows the teacher's probabilities (an array) with weight alpha and the label with 1 - alpha. Returns a pipeline model."""
+    """A logistic regression on hashed words that follows the teacher's probabilities (an array) with weight alpha and the label with 1 - alpha. Returns a pipeline model; a table without rows is an error."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, RegexTokenizer

@@ -27,11 +27,16 @@ def _place(s, name: str) -> str:
     return f"{path}/{name}"
 
 
+def _with_id(df):
+    """What was read from files without a row has no columns of its own."""
+    return df if "sample_id" in df.columns else df.withColumn("sample_id", F.lit(None).cast("bigint"))
+
+
 def _trip(form: str):
     def run(s, d):
         path = _place(s, f"samples.{form}")
         writers.save(_samples(s, d).select("sample_id", "text", "label"), path)
-        return readers.read(s, path).select(F.col("sample_id").cast("bigint").alias("sample_id"), "text", "label")
+        return _with_id(readers.read(s, path)).select(F.col("sample_id").cast("bigint").alias("sample_id"), "text", "label")
 
     return run
 
@@ -57,7 +62,7 @@ def _inference(s, d):
 def _folder(s, d):
     path = _place(s, "set")
     writers.save_folder(_samples(s, d).select("sample_id", "text", "label"), path, "all samples", {"source": "test"})
-    return readers.read_folder(s, path).select("sample_id", "label")
+    return _with_id(readers.read_jsonl(s, f"{path}/samples.jsonl")).select("sample_id", "label")
 
 
 def _flat(s, d):

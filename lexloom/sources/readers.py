@@ -23,6 +23,8 @@ def read(spark: SparkSession, path: str, text: str = "text", label: str = "label
 
 
 def _checked(df: DataFrame, text: str, label: str) -> DataFrame:
+    if not [c for c in df.columns if c != "_corrupt_record"]:  # files without any row have no columns either
+        return df.sparkSession.createDataFrame([], "text string, label string")
     missing = [c for c in (text, label) if c not in df.columns]
     if missing:
         raise FormatError(f"missing columns: {', '.join(missing)}")
