@@ -54,7 +54,7 @@ def respond(prompts: DataFrame, teacher: Teacher, column: str = "prompt", retrie
 
 
 def observed(df: DataFrame, name: str = "generation") -> tuple[DataFrame, Observation]:
-    """df, and an observation of its rows and failures that fills as df is worked on."""
+    """df, and an observation of its rows and failures that fills as df is worked on. Take a session of its own for it: Spark 4.1 cannot apply ML models in a session that has observations."""
     o = Observation(name)
     return df.observe(o, F.count("*").alias("responses"), F.count("error").alias("failed"), F.sum("latency").alias("latency")), o
 

@@ -280,7 +280,7 @@ def test_teacher_is_retried_and_failures_fall_back(spark, tmp_path):
     assert got == {("a", "generated"): 30, ("b", "fallback"): 30}
     assert generate.ask(lambda p: 1 / 0, "x", 3)[1:3] == (3, "ZeroDivisionError: division by zero")
     assert generate.ask(lambda p: p, "x", until=0)[:3] == (None, 0, "stopped")
-    df, o = generate.observed(generate.respond(spark.createDataFrame([("x",), ("y",)], "prompt string"), lambda p: p))
+    df, o = generate.observed(generate.respond(spark.newSession().createDataFrame([("x",), ("y",)], "prompt string"), lambda p: p))
     assert df.count() == 2 and o.get["responses"] == 2 and o.get["failed"] == 0
     assert generate.dataset(tasks, teacher, threshold=0.0).count() > 0
 
