@@ -87,6 +87,15 @@ def test_large_alphabets():
     assert set(zip(i.tolist(), j.tolist())) == {(k, k) for k in range(50)}
 
 
+def test_repeated_foreign_windows_count_once():
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefgh") for _ in range(104))
+    train = [text + "z" * 60, text + "zyzyx" * 12, text[:90] + "z" * 60]
+    i, j, s = p1_overlap.pairs(train, [text])
+    want = {k: similarity(t, text) for k, t in enumerate(train) if similarity(t, text) >= p1_overlap.SIMILARITY}
+    assert set(want) == {0, 1, 2} and dict(zip(i.tolist(), s.tolist())) == pytest.approx(want) and set(j.tolist()) == {0}
+
+
 def test_near_pairs_equal_brute_force(table):
     rows, df = table
     e = eligible(rows)
