@@ -3,8 +3,10 @@
 A passage is a line, or a sentence of it. The channels are: UTF-8 bytes read in one of READ_AS (once or twice), bytes of one of
 LEGACY read as Latin-1 or Windows-1252, and single-byte text read as UTF-8, whose bytes were lost to U+FFFD. A channel is
 inverted by writing the passage's bytes again. Bytes that were lost (U+FFFD, a no-break space that became a space) stay open in
-the lattice of bytes; the decoded characters that such an open place may hold are searched by Viterbi over the words of the
-passage: a word's score is its frequency over all documents, that of an unknown word the product of its characters' frequencies. A passage is garbled if
+the lattice of bytes, and a run of open bytes may hold one or more characters. The likeliest reading is searched by Viterbi. Between sound
+separators a path is either one known word, scored by its frequency over all documents, or an unknown word, whose states are
+(byte position, last character) and whose transitions are the pairs of letters of all words; separators are sound, so the words' best paths make up the passage's. A place
+of which no byte is left, or more than one is lost, is filled by known words only. A passage is garbled if
 the decoded reading explains it as a whole: a text that only quotes such characters also holds sound characters beyond
 ASCII, which do not decode, or nothing that decodes to words.
 
@@ -30,8 +32,10 @@ from .base import spread
 #: Code pages in which UTF-8 is often read, and those that are often read as Latin-1.
 READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "cp1254", "cp1256", "koi8_r", "gb18030")
 LEGACY = ("cp1256", "gb18030", "cp1251", "koi8_r", "cp1253", "big5", "shift_jis", "euc_kr")
-SHARE, WIDEST = 5e-6, 4096
+SHARE = 5e-6
 LOST = "�"
+#: Log odds of a place that stays open, of a lost byte that the page can hold, and of each further byte that a lost one stands for; signs beside letters that a lost byte often is of.
+OPEN, HELD, FURTHER, SIGNS = -40.0, -2.0, -3.0, "“”‘’–—…«»¿¡\u00a0。，、！？；：（）「」《》،؛؟।"
 
 _units = regex.compile(r"[^\r\n]+")
 _sentences = regex.compile(r"(?<=[.!?।؟。！？]) +|(?<=[。！？])")
@@ -95,9 +99,15 @@ def _bytes(text: str, page: str) -> list[int] | None:
     return functools.reduce(lambda a, b: [*a, -1, *b], map(list, parts))
 
 
-def _lattice(data: list[int]) -> list[str | tuple[str, int, int]] | None:
-    """Characters of UTF-8 bytes; an open place is (options, first, past): the characters that its bytes may be. None if they are no UTF-8."""
+def _lattice(data: list[int]) -> list[str | tuple[int, ...]] | None:
+    """Characters of UTF-8 bytes; a run of open places is the tuple of its bytes, -1 for a lost one. None if they are no UTF-8."""
     out: list = []
+
+    def leave_open(run: list[int]) -> None:
+        if out and not isinstance(out[-1], str):
+            run = [*out.pop(), *run]
+        out.append(tuple(run))
+
     i, n = 0, len(data)
     while i < n:
         b = data[i]
@@ -113,7 +123,7 @@ def _lattice(data: list[int]) -> list[str | tuple[str, int, int]] | None:
             j = i + 1
             while j < n and (data[j] == -1 or 0x80 <= data[j] < 0xC0):
                 j += 1
-            out.append((LOST, i, j))
+            leave_open(data[i:j])
             i = j
             continue
         width = 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 0
@@ -139,7 +149,7 @@ def _lattice(data: list[int]) -> list[str | tuple[str, int, int]] | None:
                         pass
             if 0x20 in seq and not (options and _plausible.match(options)):
                 return None
-            out.append((options or LOST, i, i + width))
+            leave_open(seq)
             i += width
             continue
         # the sequence broke off where bytes were lost
@@ -149,13 +159,93 @@ def _lattice(data: list[int]) -> list[str | tuple[str, int, int]] | None:
         if i + k < n and data[i + k] == -1:
             while i + k < n and data[i + k] == -1:
                 k += 1
-            out.append((LOST, i, i + k))
+            leave_open(data[i : i + k])
             i += k
             continue
         return None
     return out
 
 
+@functools.lru_cache(maxsize=None)
+def _free(page: str) -> frozenset[int]:
+    """Bytes that the page leaves free: those that reading in it loses."""
+    out = set()
+    for b in range(128, 256):
+        try:
+            bytes([b]).decode(page)
+        except UnicodeDecodeError:
+            out.add(b)
+    return frozenset(out)
+
+
+#: A damaged word as a string: bytes of open places are code points from BYTE on; LOST_BYTE is a lost one, LOST_CHAR a lost character of a single-byte page.
+BYTE, LOST_BYTE, LOST_CHAR = 0xF0000, 0xF0100, 0xF0101
+_open = re.compile(f"[{chr(BYTE)}-{chr(LOST_CHAR)}]+")
+
+
+def damaged(word: list) -> str:
+    """The lattice of a word as a string."""
+    return "".join(x if isinstance(x, str) else "".join(chr({-1: LOST_BYTE, -2: LOST_CHAR}.get(b, BYTE + b)) for b in x) for x in word)
+
+
+def _byte_pattern(b: int) -> bytes:
+    """A lost byte stands for one to three."""
+    return rb"[\x80-\xff]{1,3}" if b == -1 else rb"[\xc2-\xf4][\x80-\xbf]+" if b == -2 else re.escape(bytes([0xA0 if b == 0x20 else b]))
+
+
+@functools.lru_cache(maxsize=4096)
+def _fitting(pattern: str) -> tuple[re.Pattern, list[int], bool]:
+    """What the UTF-8 of words looks like that a damaged word may be, with a group for each run of open bytes; the runs' lengths; whether the rest is in capitals."""
+    out, at, runs = b"", 0, []
+    sound = lambda t: b"".join(b"(?:" + b"|".join(re.escape(v.encode()) for v in {c, c.lower(), c.upper()}) + b")" for c in t)
+    for m in _open.finditer(pattern):
+        run = [{LOST_BYTE: -1, LOST_CHAR: -2}.get(ord(c), ord(c) - BYTE) for c in m[0]]
+        out += sound(pattern[at : m.start()]) + b"(" + b"".join(map(_byte_pattern, run)) + b")"
+        runs.append(len(run))
+        at = m.end()
+    rest = _open.sub("", pattern)
+    return re.compile(out + sound(pattern[at:]), re.S), runs, len(rest) > 1 and rest.isupper()
+
+
+def fit(pattern: str, word: str) -> tuple[str, float] | None:
+    """The damaged word filled from a known one in lower case, and the log odds of its bytes; None if it doesn't fit. A run of n open bytes holds one to n characters; they take the case that their bytes have."""
+    p, runs, capitals = _fitting(pattern)
+    cases = [word, word[:1].upper() + word[1:], word.upper()]
+    for w in cases[::-1] if capitals else cases:
+        m = p.fullmatch(w.encode())
+        if m is None:
+            continue
+        try:
+            groups = [g.decode() for g in m.groups()]
+        except UnicodeDecodeError:
+            continue
+        if all(len(g) <= n for g, n in zip(groups, runs)):
+            further = 0 if chr(LOST_CHAR) in pattern else sum(len(g) - n for g, n in zip(m.groups(), runs))
+            rest = iter(groups)
+            if (further > 0 or pattern.count(chr(LOST_BYTE)) > 1) and not _open.sub("", pattern):  # nothing sound beside it tells the word
+                continue
+            return _open.sub(lambda _: next(rest), pattern), FURTHER * max(0, further)
+    return None
+
+
+def shape(word: str) -> str:
+    """What a word and its damaged forms share: their letters within ASCII, and where others or open places are."""
+    return regex.sub(r"[^\x00-\x7f]+", LOST, word.lower())
+
+
+def _places(parts: list) -> int:
+    """The least number of characters that the open places hold: lost bytes after a first byte that is kept are one with it."""
+    n = 0
+    for p in parts:
+        inside = 0  # bytes that still belong to the last first byte
+        for b in () if isinstance(p, str) else p:
+            if b >= 0xC2 or not inside:
+                n, inside = n + 1, 1 if 0xC2 <= b < 0xE0 else 2 if 0xE0 <= b < 0xF0 else 3
+            else:
+                inside -= 1
+    return n
+
+
 class Channel:
     """words: frequency of words (lower case) beyond ASCII over the whole corpus; single Han characters are words."""
 
@@ -164,15 +254,25 @@ class Channel:
         self.total = sum(words.values()) + 1
         self.shapes: dict[str, list[tuple[int, str]]] = {}
         chars: dict[str, int] = {}
+        pairs: dict[str, dict[str, int]] = {}
+        after: dict[str, int] = {}
         for w, n in words.items():
-            self.shapes.setdefault(regex.sub(r"[^\x00-\x7f]", LOST, w), []).append((n, w))
+            self.shapes.setdefault(shape(w), []).append((n, w))
             for c in w:
                 if c > "\x7f":
                     chars[c] = chars.get(c, 0) + n
+            for p, c in zip(" " + w, w + " ") if not _han.match(w) else ():
+                before = pairs.setdefault(c, {})
+                before[p] = before.get(p, 0) + n
+                after[p] = after.get(p, 0) + n
         for v in self.shapes.values():
             v.sort(reverse=True)
-        self.chars = chars
+        self.chars, self.pairs, self.after = chars, pairs, after
         self.all_chars = sum(chars.values()) + 1
+        self.each = {c: n for c, n in chars.items() if _han.match(c)} | {c: sum(v.values()) for c, v in pairs.items()}
+        self.all_each = sum(self.each.values()) + 1
+        self.alphabet = [(c, c.encode()) for c in dict.fromkeys([x for c in chars for x in (c, c.upper()) if len(x) == 1] + list(SIGNS))]
+        self.options: dict[tuple, list[tuple[str, float]]] = {}
 
     def score(self, text: str) -> float:
         """Log frequency of the words beyond ASCII."""
@@ -210,8 +310,8 @@ class Channel:
             return True
         return len(scripts) == 1 and (scripts == {"latin"} or len(wide) >= 6)
 
-    def best(self, parts: list) -> tuple[str, int]:
-        """The likeliest reading of a lattice by Viterbi over its words, and how many open places no word fills."""
+    def best(self, parts: list, page: str = "") -> tuple[str, int]:
+        """The likeliest reading of a lattice by Viterbi, and how many places stay open. Separators are sound, so each word's best path is part of the passage's."""
         out, unfilled, i = [], 0, 0
         while i < len(parts):
             p = parts[i]
@@ -226,33 +326,86 @@ class Channel:
             if all(isinstance(x, str) for x in word):
                 out += word
             else:
-                text, bad = self._word(word)
+                text, bad = self._word(word, page)
                 out.append(text)
                 unfilled += bad
             i = j
         return "".join(out), unfilled
 
-    def _word(self, word: list) -> tuple[str, int]:
-        if all(not isinstance(x, str) and x[0] == LOST for x in word):
-            return LOST * len(word), len(word)
-        shape = "".join(x if isinstance(x, str) else LOST for x in word).lower()
-        options = [x if isinstance(x, str) else x[0] for x in word]
-        for _, w in self.shapes.get(regex.sub(r"[^\x00-\x7f]", LOST, shape), ()):
-            # the word that the open places allow, most frequent first
-            if len(w) == len(options) and all(o == LOST or c in o.lower() for c, o in zip(w, options)):
-                return "".join(c.upper() if isinstance(o, str) and len(o) == 1 and o.isupper() else c for c, o in zip(w, options)), 0
-        # no word: states are the characters of each open place, scored singly
-        text, bad = "", 0
-        for o in options:
-            if len(o) == 1 and o != LOST:
-                text += o
-            else:
-                c = max(o, key=lambda c: self.chars.get(c.lower(), 0))
-                if c == LOST or not self.chars.get(c.lower()) and len(o) > 1:
-                    text, bad = text + (c if len(o) > 1 else LOST), bad + 1
-                else:
-                    text += c
-        return text, bad
+    def known_word(self, word: list) -> tuple[str, float] | None:
+        """The likeliest known word that fits a damaged one."""
+        pattern, top = damaged(word), None
+        for n, w in self.shapes.get(shape(pattern), ()):
+            s = math.log(n / self.total)
+            if top and s <= top[1]:
+                break
+            got = fit(pattern, w)
+            if got and (top is None or s + got[1] > top[1]):
+                top = (got[0], s + got[1])
+        return top
+
+    def _chars(self, seg: tuple[int, ...], page: str) -> list[tuple[str, float]]:
+        """The characters that the bytes of an open place may be, with the log odds of their loss. None where no byte is left, or more than one is lost: a known word alone may fill that."""
+        if all(b < 0 for b in seg) or seg.count(-1) > 1:
+            return []
+        if (seg, page) not in self.options:
+            p = re.compile(b"".join(rb"[\x80-\xff]" if b == -1 else _byte_pattern(b) for b in seg), re.S)
+            free = _free(page) if page and page != "gb18030" else ()
+            fits = {c: u for c, u in self.alphabet if len(u) == len(seg) and p.fullmatch(u)}
+            for b in range(0x80, 0x100):  # those that no word has as well
+                u = bytes(b if x == -1 else 0xA0 if x == 0x20 else x for x in seg)
+                try:
+                    if len(c := u.decode()) == 1:
+                        fits.setdefault(c, u)
+                except UnicodeDecodeError:
+                    pass
+            self.options[seg, page] = [(c, HELD * sum(b == -1 and x not in free for b, x in zip(seg, u)) if free else 0.0) for c, u in fits.items()]
+        return self.options[seg, page]
+
+    def _step(self, states: dict, c: str, cost: float, add: str, out: dict, open_: int = 0) -> None:
+        """The best way from the states to a character; states: last character -> (score, text, open places)."""
+        key = c.lower()
+        share = (self.each.get(key, 0) + (1 if c in SIGNS else 0.01)) / self.all_each
+        before = self.pairs.get(key, {})
+        # how often the character follows the last one; beside an open place and for Han characters, which are words by themselves, only how often it occurs
+        value = lambda p: states[p][0] + (0.0 if c == LOST else math.log(share) if p == LOST or not before else math.log((before.get(p, 0) + share) / (self.after.get(p, 0) + 1)))
+        last = max(states, key=value)
+        s = value(last) + cost
+        if key not in out or s > out[key][0]:
+            out[key] = (s, states[last][1] + add, states[last][2] + open_)
+
+    def _unknown(self, word: list, page: str) -> tuple[str, float, int]:
+        """The best path of an unknown word: text, score and places that stay open."""
+        states: dict = {" ": (-math.log(self.total), "", 0)}
+        for x in word:
+            if isinstance(x, str):
+                for c in x:
+                    out: dict = {}
+                    self._step(states, c, 0.0, c, out)
+                    states = out
+                continue
+            at: list[dict] = [states] + [{} for _ in x]
+            for i in range(len(x)):
+                for w in range(1, min(4, len(x) - i) + 1) if at[i] else ():
+                    seg = x[i : i + w]
+                    if any(b >= 0xC0 or b == -2 for b in seg[1:]):
+                        break
+                    options = self._chars(seg, page)
+                    for c, cost in options:
+                        self._step(at[i], c, cost, c, at[i + w], int(len(options) > 1 and c.lower() not in self.each and c not in SIGNS))
+                    self._step(at[i], LOST, OPEN, LOST, at[i + w], 1)
+            states = at[-1]
+        out = {}
+        self._step(states, " ", 0.0, "", out)
+        s, text, open_ = out[" "]
+        return text, s, open_
+
+    def _word(self, word: list, page: str) -> tuple[str, int]:
+        if all(not isinstance(x, str) and all(b < 0 for b in x) for x in word):
+            n = sum(map(len, word))
+            return LOST * n, n
+        known, unknown = self.known_word(word), self._unknown(word, page)
+        return (known[0], 0) if known and known[1] > unknown[1] else (unknown[0], unknown[2])
 
     def _utf8(self, text: str, pages: list[str]) -> tuple[str, int] | None:
         """UTF-8 that was read in another page."""
@@ -274,8 +427,8 @@ class Channel:
                 parts = data and _lattice(data)
             if not parts:
                 continue
-            open_ = sum(not isinstance(p, str) for p in parts)
-            got, unfilled = self.best(parts) if open_ else ("".join(parts), 0)
+            open_ = _places(parts)
+            got, unfilled = self.best(parts, page) if open_ else ("".join(parts), 0)
             wide = [c for c in got if c > "\x7f" and c != LOST]
             if not wide and not open_:
                 continue
@@ -315,7 +468,7 @@ class Channel:
         inside = regex.findall(rf"(?<=\p{{L}}){LOST}|{LOST}(?=\p{{L}})", text)
         if not inside or (n == 1 and len(text) > 3 and not regex.search(rf"\p{{L}}{LOST}|{LOST}\p{{L}}", text)):
             return None
-        got, unfilled = self.best([c if c != LOST else (LOST, 0, 1) for c in text])
+        got, unfilled = self.best([c if c != LOST else (-2,) for c in text])
         return got, unfilled
 
     def passage(self, text: str, pages: list[str], legacy: bool) -> tuple[str, int] | None:

@@ -203,6 +203,18 @@ def test_misread_twice_and_lost_bytes():
     assert c.text(chinese.encode("gbk").decode("latin-1"))[0] == chinese
 
 
+def test_run_of_open_bytes_holds_more_than_one_character():
+    c = p9_garbled.Channel(WORDS | {"niñéz": 5})
+    assert c.best(p9_garbled._lattice([*b"ni", -1, 0xB1, -1, 0xA9, *b"z el"])) == ("niñéz el", 0)
+    assert c.best(p9_garbled._lattice([*b"ni", -1, -1, -1, -1, *b"z el"])) == ("niñéz el", 0)
+    assert c.best(p9_garbled._lattice([*b"NI", -1, 0x91, -1, 0x89, *b"Z"])) == ("NIÑÉZ", 0)
+
+
+def test_unknown_words_are_read_by_their_neighbours():
+    c = p9_garbled.Channel({"café": 1000, "té": 1000, "baño": 30, "caño": 30, "paño": 30})
+    assert c.best(p9_garbled._lattice([*b"ta", 0xC3, -1, *b"o"])) == ("taño", 0)
+
+
 def test_sound_texts_stay():
     c = p9_garbled.Channel(WORDS)
     for text in ('One export wrote "Ã©" where "é" was meant.', "It lists “â€™” as a bad sequence.", "SÃO, NÃO and MÃE", "A lone � in the log", "├── a\n│   └── b", "«É» — café, naïve", "Привет, мир", "", "plain", "没有任何提醒"):
