@@ -62,6 +62,7 @@ PLANS: dict[str, tuple] = {
         select count(*) total_rows, count(*) filter (text <> '') total_samples, round(avg(n) filter (text <> ''), 6) average_length, round(stddev_samp(n) filter (text <> ''), 6) length_std, (select count(distinct word) from w) vocabulary_size, round((select count(distinct word) / count(*) from w), 6) lexical_diversity,
         round(avg(quality_score), 6) overall_quality, round(avg(readability) filter (text <> ''), 6) readability, round(avg(coherence) filter (text <> ''), 6) coherence, round((select min(k) / max(k) from (select count(*) k from s group by coalesce(label, ''))), 6) class_balance, round(avg(bias_score) filter (text <> ''), 6) bias_score, round(avg(is_toxic::INT) filter (text <> ''), 6) toxicity_score, bool_or(has_pii) filter (text <> '') pii_detected,
         round((select (count(text) - count(distinct text)) / count(text) from samples), 6) duplicate_ratio, round((select count(distinct word) / count(*) from w), 6) distinct_1 from s"""),
+    "e13_metrics_all": (_metrics, None),
     "e14_balanced_within": (lambda s, d: corpus.balanced_within(_samples(s, d), s.createDataFrame([("positive",), ("negative",), ("neutral",)], "label string"), tolerance=0.5), "with c as (select t.label, n from (values ('positive'), ('negative'), ('neutral')) t(label) left join (select label, count(*) n from samples group by 1) using (label)) select coalesce(min(coalesce(n, 0)) > 0, false) and coalesce((max(n) - min(n)) / max(n) <= 0.5, false) is_balanced from c"),
     "e15_success_rate": (lambda s, d: _r(corpus.success_rate(_samples(s, d), s.read.parquet(f"{d}/generation_tasks.parquet")).select("task_id", "made", "wanted", "success_rate")), "select task_id, coalesce(made, 0) made, (len(class_labels) * samples_per_class)::BIGINT wanted, round(least(coalesce(made, 0) / (len(class_labels) * samples_per_class), 1), 6) success_rate from generation_tasks left join (select task_id, count(*) made from samples group by 1) using (task_id)"),
     "e16_completion": (lambda s, d: _r(corpus.success_rate(_samples(s, d), s.read.parquet(f"{d}/generation_tasks.parquet")).select("task_id", "completion")), "select task_id, round(coalesce(coalesce(made, 0) / nullif(len(class_labels) * samples_per_class, 0), 0), 6) completion from generation_tasks left join (select task_id, count(*) made from samples group by 1) using (task_id)"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lexloom.operators import evaluation as E
@@ -51,19 +52,22 @@ def _logits(s, d):
     return _v(s, d).select("vec_id", "label", part(1).alias("t"), part(4).alias("s"))
 
 
+def _labelled(s, d):
+    """All rows with a text; label_id is null where the label is."""
+    return sampling.encode_labels(s.read.parquet(f"{d}/samples.parquet").where("text is not null").select("sample_id", "text", "label"))
+
+
 def _student(s, d):
-    """A student of the three largest labels: share of training rows that it gets right."""
-    rows = s.read.parquet(f"{d}/samples.parquet").where("label in ('positive', 'negative', 'neutral') and text is not null").select("sample_id", "text", "label")
-    rows = sampling.encode_labels(rows)
-    soft = rows.withColumn("teacher", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i == F.col("label_id"), 0.8).otherwise(0.1)))
+    """A student of all labels; its teacher is the naive Bayes model on the hard labels. Rows without a label are predicted, not trained on."""
+    rows = _labelled(s, d)
+    soft = E.train_hard(rows, "label_id").transform(rows.where("label_id is not null")).select("text", "label_id", vector_to_array("probability").alias("teacher"))
     model = E.train_student(soft, "teacher", "label_id")
     return model.transform(rows).select("sample_id", F.col("label_id"), F.col("prediction").cast("bigint").alias("predicted"))
 
 
 def _standard(s, d):
-    """The same labels with a naive Bayes model on the hard labels."""
-    rows = s.read.parquet(f"{d}/samples.parquet").where("label in ('positive', 'negative', 'neutral') and text is not null").select("sample_id", "text", "label")
-    rows = sampling.encode_labels(rows)
+    """The same rows with the naive Bayes model on the hard labels alone."""
+    rows = _labelled(s, d)
     return E.train_hard(rows, "label_id").transform(rows).select("sample_id", "label_id", F.col("prediction").cast("bigint").alias("predicted"))
 
 

@@ -41,6 +41,7 @@ def _ids_sql(table: str, id_col: str, limit: int) -> str:
 
 PLANS: dict[str, tuple] = {
     "f01_undersample": (lambda s, d: sampling.undersample(_s(s, d).where("label in ('positive', 'negative', 'neutral', 'spam')"), "sample_id").select("sample_id", "label"), f"with d as (select sample_id, label from samples where label in ('positive', 'negative', 'neutral', 'spam')), r as (select *, row_number() over (partition by label order by {_u('under', 'sample_id')}, sample_id) rk from d) select sample_id, label from r where rk <= (select min(n) from (select count(*) n from d group by label))"),
+    "f01_undersample_all": (lambda s, d: sampling.undersample(_s(s, d), "sample_id").select("sample_id", "label"), f"with d as (select sample_id, label from samples where label is not null), r as (select *, row_number() over (partition by label order by {_u('under', 'sample_id')}, sample_id) rk from d) select sample_id, label from r where rk <= (select min(n) from (select count(*) n from d group by label))"),
     "f02_oversample": (lambda s, d: sampling.oversample(_s(s, d), "sample_id").select("sample_id", "label", "source", F.round("confidence", 6).alias("confidence"), "copy_no"), _over(None)),
     "f03_top_up": (lambda s, d: sampling.oversample(_s(s, d), "sample_id", target=120).select("sample_id", "label", "source", F.round("confidence", 6).alias("confidence"), "copy_no"), _over(120)),
     "f04_split": (lambda s, d: sampling.split3(_s(s, d), "sample_id").select("sample_id", "part"), _split_sql(False)),
@@ -50,6 +51,7 @@ PLANS: dict[str, tuple] = {
     "f07_label_ids": (lambda s, d: sampling.encode_labels(_s(s, d)).select("sample_id", "label_id"), "with l as (select label, row_number() over (order by label) - 1 label_id from (select distinct label from samples where label is not null)) select sample_id, label_id from samples left join l using (label)"),
     "f08_word_ids": (lambda s, d: sampling.word_ids(_docs(s, d), "doc_id").select("doc_id", F.size("input_ids").cast("bigint").alias("n"), F.md5(F.array_join("input_ids", ",")).alias("digest"), F.size("attention_mask").cast("bigint").alias("mask")), f"with {_ids_sql('documents', 'doc_id', 512)} select doc_id, len(ids) n, md5(array_to_string(ids, ',')) digest, len(ids) mask from enc"),
     "f09_padding": (lambda s, d: sampling.padded(sampling.word_ids(_docs(s, d), "doc_id", limit=64), "doc_id", 16, 8).select("doc_id", F.col("batch_no").cast("bigint").alias("batch_no"), F.size("input_ids").cast("bigint").alias("width"), F.expr("aggregate(attention_mask, 0, (a, x) -> a + x)").cast("bigint").alias("live")), f"with {_ids_sql('documents', 'doc_id', 64)}, b as (select doc_id, ids, (row_number() over (order by doc_id) - 1) // 16 batch_no from enc) select doc_id, batch_no, (ceil(max(len(ids)) over (partition by batch_no) / 8) * 8)::BIGINT width, len(ids) live from b"),
+    "f09_padding_512": (lambda s, d: sampling.padded(sampling.word_ids(_docs(s, d), "doc_id", limit=512), "doc_id", 16, 8).select("doc_id", F.col("batch_no").cast("bigint").alias("batch_no"), F.size("input_ids").cast("bigint").alias("width"), F.expr("aggregate(attention_mask, 0, (a, x) -> a + x)").cast("bigint").alias("live")), f"with {_ids_sql('documents', 'doc_id', 512)}, b as (select doc_id, ids, (row_number() over (order by doc_id) - 1) // 16 batch_no from enc) select doc_id, batch_no, (ceil(max(len(ids)) over (partition by batch_no) / 8) * 8)::BIGINT width, len(ids) live from b"),
     "f10_jury_sample": (lambda s, d: sampling.sample_k(_s(s, d), "sample_id", 200).select("sample_id"), f"select sample_id from samples order by {_u('jury', 'sample_id')}, sample_id limit 200"),
     "f11_adversarial": (lambda s, d: augment.adversarial(_samples(s, d).select("sample_id", "text", "label", "source", "confidence"), "sample_id", 200), None),
 }

@@ -1,10 +1,12 @@
 """Hand-made rows: bounds, nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom import registry
 from lexloom.functions import text as T
 from lexloom.functions.tables import numbered, ranked
 from lexloom.operators import audit, augment, clean, corpus, evaluation, parsing, pii, quality, sampling, selection
@@ -332,3 +334,26 @@ def test_soft_loss_is_zero_for_equal_students(spark):
     d = spark.createDataFrame([([1.0, 2.0, 1000.0], [1.0, 2.0, 1000.0])], "t array<double>, s array<double>")
     x = d.select(evaluation.soft_loss(F.col("t").cast("array<double>"), F.col("s"), F.lit(2)).alias("x"), evaluation.feature_loss(F.col("t"), F.col("s")).alias("f")).first()
     assert abs(x.x.ce) < 1e-9 and abs(x.f) < 1e-12
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["l12_student", "l13_standard"])
+def test_students_know_all_labels_and_rows(spark, name):
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/samples.parquet").where("text is not null")
+    got = registry.queries()[name](spark, d).toPandas()
+    assert set(got.sample_id) == {r.sample_id for r in rows.select("sample_id").collect()} and len(got) == rows.count()
+    assert got.label_id.dropna().nunique() == spark.read.parquet(f"{d}/samples.parquet").where("text is not null and label is not null").select("label").distinct().count()
+    assert got.predicted.notna().all() and got.predicted.nunique() > 3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_all_measures_are_in_one_row(spark):
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/samples.parquet").select("sample_id", "text", "label")
+    got = registry.queries()["e13_metrics_all"](spark, d).collect()
+    assert len(got) == 1
+    parts = [corpus.semantic_diversity(rows, "sample_id"), corpus.structural_diversity(rows), corpus.near_duplicate_ratio(rows, "sample_id").select("near_duplicate_ratio"), *(corpus.distinct_n(rows, "sample_id", n).select(f"distinct_{n}") for n in (1, 2, 3))]
+    for p in parts:
+        for k, v in p.first().asDict().items():
+            assert got[0][k] == pytest.approx(v, abs=1e-6), k
