@@ -77,7 +77,7 @@ def _record_form(text: pd.Series) -> pd.Series:
 
 def canonical(text: Column) -> Column:
     """Canonical form; null where the text has no letter, mark or number. Only texts that can be records go to Python."""
-    may = text.rlike(r"^[\s\p{Z}\p{Cf}]*(?:\{|\p{L}[\p{L}\p{M}]*[\s\p{Z}]*[:：])")
+    may = text.rlike(r"^[\s\p{Z}\p{Cf}|]*(?:\{|\p{L}[\p{L}\p{M}]*[\s\p{Z}]*[:：])")
     plain = F.regexp_replace(F.lower(text), DROP, "")
     record = _record_form(F.when(may, text))
     return F.when(plain == "", None).otherwise(F.coalesce(F.concat(F.lit("R\x1e"), record), F.concat(F.lit("T"), plain)))

@@ -148,6 +148,12 @@ def test_canonical_duplicates(spark):
     assert c[2] == 3 and sum(c.values()) == len([t for t in rows if t and any(ch.isalnum() for ch in t)])
 
 
+def test_records_with_outer_dividers_are_records(spark):
+    rows = ["| name: Ann | city: Oslo |", "city: Oslo | name: Ann", " || city: OSLO\n| name: Ann", "| name: Ann", "| city Oslo name Ann"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "sample_id bigint, text string")
+    assert {tuple(r) for r in p4_canonical.found(df).collect()} == {(0, 1), (0, 2)}
+
+
 def test_hot_sets_are_salted(spark, monkeypatch):
     df = spark.range(6000).select(F.col("id").alias("sample_id"), F.when(F.col("id") % 3 > 0, F.lit("Same text")).otherwise(F.concat(F.lit("other "), F.col("id"))).alias("text"))
     got = p4_canonical.found(df)
