@@ -10,6 +10,7 @@ Rows with equal ids each have their values.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 
 from .base import batches, mix, spread
 from .crf import forward_backward, viterbi
-from .p6_table import labelled
+from .p6_table import FAMILY, GIVEN, labelled
 
 TYPES = ("email", "phone", "ssn", "passport", "driver_license", "address", "name")
 LABELS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 K = len(LABELS)
-SPACE, ROUNDS = 1 << 18, 60
+SPACE, ROUNDS, RATE, PENALTY, BLOT, RARE = 1 << 18, 3, 0.3, 0.5, 0.45, 12
 
 _token = regex.compile(r"\p{N}+|\p{L}[\p{L}\p{M}]*|[^\s]")
 #: Columns of a token's own attributes.
@@ -33,12 +34,11 @@ WORD, SHAPE, BEFORE, SUFFIX3, SUFFIX4, PREFIX, LISTED = range(7)
 #: Feature templates: (offset, attribute) pairs that are taken together.
 TEMPLATES = (
     ((0, WORD),), ((-1, WORD),), ((1, WORD),), ((-2, WORD),), ((2, WORD),),
-    ((-1, WORD), (0, WORD)), ((0, WORD), (1, WORD)), ((-2, WORD), (-1, WORD)), ((1, WORD), (2, WORD)), ((-3, WORD), (-2, WORD), (-1, WORD)),
     ((0, SHAPE),), ((-1, SHAPE), (0, SHAPE)), ((0, SHAPE), (1, SHAPE)), ((-1, SHAPE), (0, SHAPE), (1, SHAPE)),
     ((-2, SHAPE), (-1, SHAPE), (0, SHAPE), (1, SHAPE), (2, SHAPE)), ((0, SHAPE), (1, SHAPE), (2, SHAPE), (3, SHAPE)), ((-3, SHAPE), (-2, SHAPE), (-1, SHAPE), (0, SHAPE)),
     ((0, SHAPE), (1, SHAPE), (2, SHAPE), (3, SHAPE), (4, SHAPE), (5, SHAPE)),
     ((0, SUFFIX3),), ((0, SUFFIX4),), ((0, PREFIX),), ((1, SUFFIX4),), ((-1, SUFFIX4),), ((0, LISTED), (0, SHAPE)), ((-1, LISTED), (0, LISTED), (1, LISTED)), ((0, LISTED), (1, WORD)), ((0, LISTED), (2, LISTED)),
-    ((-1, WORD), (0, SHAPE)), ((0, SHAPE), (1, WORD)), ((-2, WORD), (-1, SHAPE), (0, SHAPE)), ((-1, WORD), (0, LISTED)), ((0, BEFORE), (0, SHAPE)), ((0, BEFORE), (-1, SHAPE), (0, SHAPE)), ((0, SUFFIX4), (-1, SHAPE)), ((0, LISTED), (1, SUFFIX4)), ((-1, LISTED), (0, SUFFIX4)),
+    ((-1, WORD), (0, SHAPE)), ((0, SHAPE), (1, WORD)), ((-1, WORD), (0, LISTED)), ((0, BEFORE), (0, SHAPE)), ((0, BEFORE), (-1, SHAPE), (0, SHAPE)), ((0, SUFFIX4), (-1, SHAPE)), ((0, LISTED), (1, SUFFIX4)), ((-1, LISTED), (0, SUFFIX4)),
 )
 
 
@@ -53,14 +53,14 @@ class Tokens:
     """Attributes of tokens; what a string has by itself is remembered."""
 
     def __init__(self, given: list[str], family: list[str]):
-        self.given, self.family = {x.lower() for x in given}, {x.lower() for x in family}
+        self.given, self.family = {x.lower() for x in [*given, *GIVEN]}, {x.lower() for x in [*family, *FAMILY]}
         self.known: dict[str, int] = {}
         self.rows: list[list[int]] = []
 
     def _row(self, w: str) -> list[int]:
         low = w.lower()
         if w[0].isdigit() or regex.match(r"\p{N}", w):
-            word, shape = f"#{min(len(w), 12)}", f"9{min(len(w), 12)}"
+            word, shape = f"#{len(w)}", f"9{len(w)}"
         elif not w[0].isalpha():
             word = shape = w
         else:
@@ -69,6 +69,11 @@ class Tokens:
         lists = f"{low in self.given:d}{low in self.family:d}"
         return [_hash("w" + word), _hash("s" + shape), 0, _hash("x" + low[-3:]), _hash("y" + low[-4:]), _hash("p" + low[:3]), _hash("l" + lists)]
 
+    @staticmethod
+    def alphabetic(attributes: np.ndarray) -> np.ndarray:
+        """Which tokens are words of letters."""
+        return np.isin(attributes[:, SHAPE], np.array([_hash("s" + x) for x in ("U", "UU", "Uu", "u1", "u")], np.uint64))
+
     def attributes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
         """Attributes of all tokens, each text's first token (with the end as last), and the tokens' places."""
         if len(self.known) > 500_000:
@@ -116,13 +121,12 @@ def features(attributes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(given: list[str], family: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (SPACE, K) and transitions (K, K) by full-batch Adagrad on the likelihood of the labelled table."""
-    table = labelled(given, family)
+def train(given: list[str], family: list[str], table: list | None = None, rounds: int = ROUNDS, batch: int = 96) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (SPACE, K) and transitions (K, K) that maximise the likelihood of the labelled table, by Adagrad over small batches."""
+    table = labelled(given, family) if table is None else table
     tokens = Tokens(given, family)
     a, begin, places = tokens.attributes([t for t, _ in table])
-    f = features(a, begin)
-    gold = np.zeros(len(f), np.int64)
+    gold = np.zeros(len(a), np.int64)
     for i, (_, spans) in enumerate(table):
         for s, e, kind in spans:
             first = True
@@ -130,37 +134,58 @@ def train(given: list[str], family: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 if x >= s and y <= e:
                     gold[begin[i] + j] = 1 + 2 * TYPES.index(kind) + (not first)
                     first = False
-    weights, moves = np.zeros((SPACE, K), np.float32), np.zeros((K, K), np.float32)
-    flat = f.ravel()
-    by = np.argsort(flat, kind="stable")
-    token_of = by // f.shape[1]
-    edge = np.flatnonzero(np.concatenate([[True], flat[by][1:] != flat[by][:-1]]))
-    used = flat[by][edge]
-    order = np.argsort(np.diff(begin), kind="stable")
-    gold_moves = np.zeros((K, K))
-    for i in range(len(table)):
-        y = gold[begin[i] : begin[i + 1]]
-        np.add.at(gold_moves, (y[:-1], y[1:]), 1)
-    seen_w, seen_m = np.full((len(used), K), 1e-3, np.float32), np.full((K, K), 1e-3)
-    for _ in range(ROUNDS):
-        emission = weights[f].sum(1)
-        move = np.exp(moves - moves.max()).astype(np.float32)
-        g = np.zeros((len(f), K), np.float32)
-        g[np.arange(len(f)), gold] = 1
-        g_moves = gold_moves.copy()
-        for s in range(0, len(order), 128):
-            some = order[s : s + 128]
-            post, expected, _ = forward_backward([emission[begin[i] : begin[i + 1]] for i in some], move, True)
-            g_moves -= expected
-            for i, p in zip(some, post):
-                g[begin[i] : begin[i + 1]] -= p
-        step = np.add.reduceat(g[token_of], edge, axis=0) - 0.02 * weights[used]
-        seen_w += step * step
-        weights[used] += 0.3 * step / np.sqrt(seen_w)
-        g_moves -= 0.02 * moves
-        seen_m += g_moves * g_moves
-        moves += (0.3 * g_moves / np.sqrt(seen_m)).astype(np.float32)
-    return weights, moves
+    rng = np.random.default_rng(1)
+    # words and lists of values, and words without capitals beside them, are blotted out here and there, so that shapes and neighbours must do for new ones
+    value, small = gold > 0, np.isin(a[:, SHAPE], np.array([_hash("su"), _hash("su1")], np.uint64))
+    a[value & (rng.random(len(a)) < BLOT), LISTED] = _hash("l00")
+    for columns in ([WORD], [SUFFIX3, SUFFIX4, PREFIX]):
+        at = np.flatnonzero((rng.random(len(a)) < BLOT) & (value | small) & tokens.alphabetic(a))
+        a[np.ix_(at, columns)] = rng.integers(0, 1 << 62, (len(at), 1), np.uint64)
+    f = features(a, begin)
+    # features of fewer than RARE tokens tell of their sentence, not of the type: they get no weight
+    often = np.bincount(f.ravel(), minlength=SPACE) >= RARE
+    f = np.where(often[f], f, SPACE)
+    weights, moves = np.zeros((SPACE + 1, K), np.float32), np.zeros((K, K), np.float32)
+    seen_w, seen_m = np.full((SPACE + 1, K), 0.1, np.float32), np.full((K, K), 0.1)
+    # batches of texts of about the same length, always the same ones, in another order each round
+    by_length = np.argsort(np.diff(begin), kind="stable")
+    parts = []
+    for s in range(0, len(by_length), batch):
+        some = by_length[s : s + batch]
+        rows = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in some])
+        flat = f[rows].ravel()
+        by = np.argsort(flat, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], flat[by][1:] != flat[by][:-1]]))
+        counts = np.zeros((K, K))
+        for i in some:
+            y = gold[begin[i] : begin[i + 1]]
+            np.add.at(counts, (y[:-1], y[1:]), 1)
+        ends = np.cumsum(np.diff(begin)[some])
+        parts.append((rows, flat[by][edge], by // f.shape[1], edge, counts, [slice(e - n, e) for e, n in zip(ends, np.diff(begin)[some])]))
+    share = 1 / max(1, len(parts))
+    for _ in range(rounds):
+        for k in rng.permutation(len(parts)):
+            rows, used, token_of, edge, counts, spans = parts[k]
+            emission = np.zeros((len(rows), K), np.float32)
+            for j in range(f.shape[1]):
+                emission += weights[f[rows, j]]
+            post, expected, _ = forward_backward([emission[x] for x in spans], np.exp(moves - moves.max()).astype(np.float32), True)
+            g = -np.concatenate(post)
+            g[np.arange(len(rows)), gold[rows]] += 1
+            step = np.add.reduceat(g[token_of], edge, axis=0) - PENALTY * share * weights[used]
+            seen_w[used] += step * step
+            weights[used] += RATE * step / np.sqrt(seen_w[used])
+            weights[SPACE] = 0
+            step = counts - expected - PENALTY * share * moves
+            seen_m += step * step
+            moves += (RATE * step / np.sqrt(seen_m)).astype(np.float32)
+    return weights[:SPACE], moves
+
+
+@functools.lru_cache(maxsize=4)
+def fitted(given: tuple[str, ...], family: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The weights for these name lists, fitted once for a session and used by all its queries."""
+    return train(list(given), list(family))
 
 
 class Field:
@@ -225,7 +250,7 @@ def lists(lexicon: DataFrame) -> tuple[list[str], list[str]]:
 def scanned(results: DataFrame, lexicon: DataFrame) -> DataFrame:
     """One row for each row: result_id, cleaned_text, found array<struct<pii_type, start_pos, end_pos, value>>."""
     given, family = lists(lexicon)
-    shared = results.sparkSession.sparkContext.broadcast((*train(given, family), given, family))
+    shared = results.sparkSession.sparkContext.broadcast((*fitted(tuple(given), tuple(family)), given, family))
     kind = pa.list_(pa.struct([("pii_type", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("value", pa.string())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
