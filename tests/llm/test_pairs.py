@@ -83,7 +83,7 @@ def test_index_counts_windows():
 def test_large_alphabets():
     r = random.Random(2)
     texts = ["".join(chr(0x4E00 + r.randrange(12_000)) for _ in range(60)) for _ in range(300)]
-    i, j, s = p1_overlap.pairs(texts[:200], [t[:58] + "xy" for t in texts[:50]] + texts[250:])
+    i, j, s, *_ = p1_overlap.pairs(texts[:200], [t[:58] + "xy" for t in texts[:50]] + texts[250:])
     assert set(zip(i.tolist(), j.tolist())) == {(k, k) for k in range(50)}
 
 
@@ -91,7 +91,7 @@ def test_repeated_foreign_windows_count_once():
     rng = random.Random(7)
     text = "".join(rng.choice("abcdefgh") for _ in range(104))
     train = [text + "z" * 60, text + "zyzyx" * 12, text[:90] + "z" * 60]
-    i, j, s = p1_overlap.pairs(train, [text])
+    i, j, s, *_ = p1_overlap.pairs(train, [text])
     want = {k: similarity(t, text) for k, t in enumerate(train) if similarity(t, text) >= p1_overlap.SIMILARITY}
     assert set(want) == {0, 1, 2} and dict(zip(i.tolist(), s.tolist())) == pytest.approx(want) and set(j.tolist()) == {0}
 
