@@ -1,14 +1,14 @@
 """Problem 3: texts that were cut off.
 
-Two kinds of evidence are combined as odds.
-Length: per source, a log-normal length distribution is fitted by maximum likelihood with right-censored values (EM): a
-candidate limit is a length with more values than its neighbours; its values are censored with a posterior of one minus
-the expected over the observed count, and censored values count as "at least this long". The posterior at each length is the
-source's length evidence.
+Per source, the texts are a mixture of whole and cut ones, which is fitted by expectation-maximisation; a text's posterior decides.
+Length: whole texts of a kind (JSON, list, prose) are log-normal. A cut text is right-censored: at a limit of the source, or
+where the transfer broke off, at any place of its whole length, which gives lengths the density S(l) / E[L]. The log-normal is fitted by
+maximum likelihood in which censored values count as "at least this long"; candidate limits are lengths with more values than their neighbours.
 Ending: an unclosed JSON value, string or bracket, a damaged last character, a last line without a sentence end. A list item, a
 signature or a label needs no sentence end: whether its last words can end a line is counted over all lines of the table
 that are known to be whole (a list item is whole if another line follows). Trailing dots are a style where the same last
-sentence ends many texts that end in dots.
+sentence ends many texts that end in dots. How often an ending is a cut one is learned for each source with the rest; CHANCE is only where it starts, and
+weighs as much as WEIGHT of the source's texts with the ending.
 
 finish_reason is not read. Null, empty and blank texts are no cases; a call delivered more than once is cut if any
 delivery is; a text without any letter or number is no case. Sources are compared as they are; a null source is a source.
@@ -31,8 +31,11 @@ from .base import cut
 END = r".!?。！？؟।۔"
 AFTER = r"\"'”’»›)\]）】」』*_\s\p{So}\p{Sk}\p{Cf}\x{fe0f}\x{1f3fb}-\x{1f3ff}★☆"
 BULLET = r"^\s*(?:[-*•·–]|\d+[.)])\s+"
-#: Chance that a text with this ending is cut, before its length is looked at.
-CHANCE = {"open": 0.9995, "damaged": 0.9995, "prose": 0.995, "item_cut": 0.99, "item": 0.002, "line": 0.0005, "number": 0.25, "end": 0.0005, "style": 0.0005, "dots": 0.995, "bracket": 0.97}
+#: What is thought of an ending before any length is looked at: the chance that it is a cut one; and how much that weighs beside the source's own texts.
+CHANCE = {"open": 0.99, "damaged": 0.99, "prose": 0.97, "item_cut": 0.97, "item": 0.003, "line": 0.003, "number": 0.1, "end": 0.0005, "style": 0.001, "dots": 0.97, "bracket": 0.95}
+WEIGHT, AT_LEAST = 0.1, 30.0
+#: Share of whole texts that may have any length, so that no length alone tells much but a limit.
+ANY = 0.1
 #: A last line counts as a known form, or a last sentence as a style, from this share of the lines or texts of its kind, and at least so many.
 KNOWN, STYLE, LEAST = 0.004, 0.01, 3
 
@@ -73,15 +76,58 @@ def censoring(length: np.ndarray, count: np.ndarray, rounds: int = 60) -> tuple[
     return mu, sigma, post
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    mu, sigma, post = censoring(pdf["len"].to_numpy(), pdf["n"].to_numpy())
-    return pd.DataFrame({"source": pdf["source"], "len": pdf["len"], "n": pdf["n"], "mu": mu, "sigma": sigma, "censored": post})
+_tail = np.vectorize(_upper, otypes=[float])
+_density = np.vectorize(_phi, otypes=[float])
+
+
+def mixture(kind: np.ndarray, form: np.ndarray, length: np.ndarray, count: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """The posterior of being cut of one source's texts, counted by kind, form of the ending and length."""
+    n = count.astype(float)
+    whole = np.unique(length)
+    _, _, post = censoring(whole, np.bincount(np.searchsorted(whole, length), n))
+    limit = post > 0.05
+    at = np.searchsorted(whole, length)
+    on_limit = limit[at]
+    start = np.array([CHANCE[f] for f in form])
+    forms, f = np.unique(form, return_inverse=True)
+    kinds, k = np.unique(kind, return_inverse=True)
+    n_form = np.bincount(f, n)
+    prior, weight = np.array([CHANCE[x] for x in forms]), np.maximum(AT_LEAST, WEIGHT * n_form)
+    r, x = start.copy(), np.log(length)
+    x_k = np.array([(n * x)[k == j].sum() / n[k == j].sum() for j in range(len(kinds))])
+    s_k = np.array([max(0.2, np.sqrt((n * (x - x_k[j]) ** 2)[k == j].sum() / n[k == j].sum())) for j in range(len(kinds))])
+    # what the limits hold: lengths with more texts than their neighbours whose endings may be cut ones; a common length of whole texts is no limit
+    w = n * r * np.where(on_limit, post[at], 0.0)
+    lam, share = float(w.sum() / (n * r).sum()), np.bincount(at, w)[at] / max(w.sum(), 1e-300)
+    for _ in range(rounds):
+        z = (x - x_k[k]) / s_k[k]
+        tail = _tail(z)
+        mean = np.exp(x_k + s_k**2 / 2)[k]
+        density = (1 - ANY) * _density(z) / (s_k[k] * length) + ANY * tail / mean
+        broken, limited = (1 - lam) * tail / mean, np.where(on_limit, lam * share, 0.0)
+        p = (np.bincount(f, n * r) + weight * prior) / (n_form + weight)
+        odds = p[f] / (1 - p[f]) * (broken + limited) / density
+        new = odds / (1 + odds)
+        moved = float(np.abs(new - r).max(initial=0))
+        r = new
+        w = n * r * limited / np.maximum(broken + limited, 1e-300)
+        lam, share = min(0.98, float(w.sum() / max((n * r).sum(), 1e-300))), np.bincount(at, w)[at] / max(w.sum(), 1e-300)
+        # cut texts count as "at least this long"
+        hazard = _density(z) / tail
+        for j in range(len(kinds)):
+            w, mu, s, q = n * (k == j), x_k[j], s_k[j], r
+            first = (1 - q) * x + q * (mu + s * hazard)
+            second = (1 - q) * x**2 + q * (mu**2 + 2 * mu * s * hazard + s**2 * (1 + z * hazard))
+            x_k[j] = (w * first).sum() / w.sum()
+            s_k[j] = math.sqrt(max(float((w * second).sum() / w.sum()) - x_k[j] ** 2, 0.04))
+        if moved < 1e-5:
+            break
+    return r
 
 
-def limits(results: DataFrame) -> DataFrame:
-    """(source, len, n, mu, sigma, censored): the fitted distribution of each source and the posterior at each length. A group has one row for each length."""
-    h = results.where("text is not null and length(trim(text)) > 0").groupBy("source", F.length("text").cast("bigint").alias("len")).agg(F.count("*").alias("n"))
-    return h.groupBy("source").applyInPandas(_fit, "source string, len bigint, n bigint, mu double, sigma double, censored double")
+def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    p = mixture(pdf["kind"].to_numpy(), pdf["form"].to_numpy(), pdf["len"].to_numpy(), pdf["n"].to_numpy())
+    return pdf[["source", "kind", "form", "len"]].assign(p=p)
 
 
 def _features(results: DataFrame) -> DataFrame:
@@ -117,7 +163,7 @@ def _features(results: DataFrame) -> DataFrame:
         .when((F.col("n_words") <= 4) & (F.col("n_lines") > 1), "short")
         .otherwise("prose")
     )
-    return rows.select("call_id", "source", "len", form.alias("form"), F.trim("frag").alias("frag"), F.lower("w1").alias("w1"), F.lower("w2").alias("w2"), F.lower(F.trim("last")).alias("last"), F.when(F.col("text").rlike(r"(?m)" + BULLET), F.col("stem")).alias("lines"))
+    return rows.select("call_id", "source", "len", form.alias("form"), F.trim("frag").alias("frag"), F.lower("w1").alias("w1"), F.lower("w2").alias("w2"), F.lower(F.trim("last")).alias("last"), F.when(F.col("text").rlike(r"(?m)" + BULLET), F.col("stem")).alias("lines"), "json")
 
 
 def scored(results: DataFrame) -> DataFrame:
@@ -137,7 +183,7 @@ def scored(results: DataFrame) -> DataFrame:
     dots = rows.where("form = 'dots' and size(split(frag, ' ')) >= 3")
     n_dots = rows.where("form = 'dots'").agg(F.greatest(F.lit(LEAST), F.count("*") * STYLE).alias("least"))
     style = dots.groupBy("frag").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n_dots)).where("n >= least").select("frag", F.lit(True).alias("style"))
-    r = rows.drop("lines", "last").join(stat.select(F.col("key").alias("w2"), F.col("share").alias("share2")), "w2", "left").join(stat.select(F.col("key").alias("w1"), F.col("share").alias("share1")), "w1", "left")
+    r = rows.withColumn("listed", F.col("lines").isNotNull()).drop("lines", "last").join(stat.select(F.col("key").alias("w2"), F.col("share").alias("share2")), "w2", "left").join(stat.select(F.col("key").alias("w1"), F.col("share").alias("share1")), "w1", "left")
     r = r.join(known, "w1", "left").join(style, "frag", "left")
     can_end = F.coalesce("share2", "share1", F.lit(0.0)) >= 0.5
     form = (
@@ -146,19 +192,12 @@ def scored(results: DataFrame) -> DataFrame:
         .when((F.col("form") == "dots") & F.col("style"), "style")
         .otherwise(F.col("form"))
     )
-    p = F.element_at(F.create_map(*[F.lit(x) for kv in CHANCE.items() for x in kv]), F.col("form"))
-    r = r.select("call_id", "source", "len", form.alias("form")).withColumn("ending", p)
-    lim = limits_of(rows).withColumnRenamed("source", "s").withColumnRenamed("len", "l")
-    r = r.join(lim, F.col("source").eqNullSafe(F.col("s")) & (F.col("len") == F.col("l")), "left")
-    prior = 0.05  # the share of cut texts at which the endings' chances were set
-    c = F.least(F.greatest(F.coalesce("censored", F.lit(0.0)), F.lit(prior)), F.lit(0.98))
-    odds = F.col("ending") / (1 - F.col("ending")) * (c / (1 - c)) / F.lit(prior / (1 - prior))
-    return r.select("call_id", "source", "form", (odds / (1 + odds)).alias("p"))
-
-
-def limits_of(rows: DataFrame) -> DataFrame:
-    h = rows.groupBy("source", "len").agg(F.count("*").alias("n"))
-    return h.groupBy("source").applyInPandas(_fit, "source string, len bigint, n bigint, mu double, sigma double, censored double").where("censored > 0.05").select("source", "len", "censored")
+    kind = F.when(F.col("json"), "json").when(F.col("listed"), "list").otherwise("prose")
+    r = r.select("call_id", "source", "len", form.alias("form"), kind.alias("kind"))
+    # one source's texts as counts: no more rows than forms times lengths
+    post = r.groupBy("source", "kind", "form", "len").agg(F.count("*").alias("n")).groupBy("source").applyInPandas(_fit, "source string, kind string, form string, len bigint, p double")
+    post = post.select(F.col("source").alias("s"), F.col("kind").alias("k"), F.col("form").alias("f"), F.col("len").alias("l"), "p")
+    return r.join(post, F.col("source").eqNullSafe(F.col("s")) & (F.col("kind") == F.col("k")) & (F.col("form") == F.col("f")) & (F.col("len") == F.col("l")), "left").select("call_id", "source", "form", F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
 def found(results: DataFrame) -> DataFrame:

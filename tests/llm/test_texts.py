@@ -27,6 +27,23 @@ def test_censored_fit_recovers_the_distribution():
     assert post[length == 500][0] > 0.9 and (post[length != 500] == 0).all()
 
 
+@pytest.mark.parametrize("limit", [True, False])
+def test_the_same_ending_is_cut_at_a_limit_and_whole_without_one(limit):
+    r = np.random.default_rng(1)
+    lengths = lambda n: (np.exp(r.normal(6, 0.5, n)).astype(int) + 1).tolist()
+    rows = [("end", x) for x in lengths(4000)] + [("prose", x) for x in ([500] * 1000 if limit else lengths(1000))] + [("number", x) for x in lengths(100) + [500] * 40 * limit]
+    count: dict = {}
+    for x in rows:
+        count[x] = count.get(x, 0) + 1
+    form, length, n = np.array([f for f, _ in count]), np.array([x for _, x in count]), np.array(list(count.values()))
+    p = p3_truncated.mixture(np.full(len(n), "prose"), form, length, n)
+    prose = (p * n)[form == "prose"].sum() / n[form == "prose"].sum()
+    assert prose > 0.95 if limit else prose < 0.4
+    assert (p[(form == "end") | (form == "number") & (length != 500)] < 0.5).all()
+    if limit:
+        assert p[(form == "number") & (length == 500)][0] > 0.9
+
+
 CASES = [
     ("A whole sentence. And one more.", False),
     ("A whole sentence. And one mo", True),
