@@ -21,19 +21,19 @@ from pyspark.sql import functions as F
 
 from .base import batches, mix, spread
 from .crf import forward_backward, viterbi
-from .p6_table import FAMILY, GIVEN, labelled
+from .p6_table import FAMILY, GIVEN, TITLES, TITLES_OF, labelled
 
 TYPES = ("email", "phone", "ssn", "passport", "driver_license", "address", "name")
 LABELS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 K = len(LABELS)
-SPACE, ROUNDS, RATE, PENALTY, BLOT, RARE = 1 << 18, 3, 0.3, 0.5, 0.45, 12
+SPACE, ROUNDS, RATE, PENALTY, BLOT, RARE = 1 << 18, 3, 0.3, 0.5, 0.35, 12
 
 _token = regex.compile(r"\p{N}+|\p{L}[\p{L}\p{M}]*|[^\s]")
 #: Columns of a token's own attributes.
 WORD, SHAPE, BEFORE, SUFFIX3, SUFFIX4, PREFIX, LISTED = range(7)
 #: Feature templates: (offset, attribute) pairs that are taken together.
 TEMPLATES = (
-    ((0, WORD),), ((-1, WORD),), ((1, WORD),), ((-2, WORD),), ((2, WORD),),
+    ((0, WORD),), ((-1, WORD),), ((1, WORD),), ((-2, WORD),), ((2, WORD),), ((-3, WORD),), ((-2, WORD), (0, SHAPE)), ((-3, WORD), (0, SHAPE)), ((-2, WORD), (-1, SHAPE), (0, SHAPE)), ((-1, SHAPE), (0, WORD)),
     ((0, SHAPE),), ((-1, SHAPE), (0, SHAPE)), ((0, SHAPE), (1, SHAPE)), ((-1, SHAPE), (0, SHAPE), (1, SHAPE)),
     ((-2, SHAPE), (-1, SHAPE), (0, SHAPE), (1, SHAPE), (2, SHAPE)), ((0, SHAPE), (1, SHAPE), (2, SHAPE), (3, SHAPE)), ((-3, SHAPE), (-2, SHAPE), (-1, SHAPE), (0, SHAPE)),
     ((0, SHAPE), (1, SHAPE), (2, SHAPE), (3, SHAPE), (4, SHAPE), (5, SHAPE)),
@@ -163,6 +163,7 @@ def train(given: list[str], family: list[str], table: list | None = None, rounds
         ends = np.cumsum(np.diff(begin)[some])
         parts.append((rows, flat[by][edge], by // f.shape[1], edge, counts, [slice(e - n, e) for e, n in zip(ends, np.diff(begin)[some])]))
     share = 1 / max(1, len(parts))
+    mean_w, mean_m = np.zeros_like(weights), np.zeros_like(moves)
     for _ in range(rounds):
         for k in rng.permutation(len(parts)):
             rows, used, token_of, edge, counts, spans = parts[k]
@@ -179,7 +180,10 @@ def train(given: list[str], family: list[str], table: list | None = None, rounds
             step = counts - expected - PENALTY * share * moves
             seen_m += step * step
             moves += (RATE * step / np.sqrt(seen_m)).astype(np.float32)
-    return weights[:SPACE], moves
+        # the mean of the rounds' weights depends less on the order of the batches than the last ones
+        mean_w += weights / rounds
+        mean_m += moves / rounds
+    return mean_w[:SPACE], mean_m
 
 
 @functools.lru_cache(maxsize=4)
@@ -219,16 +223,33 @@ class Field:
         return [_whole(x, v) for x, v in zip(texts, out)]
 
 
+_title = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted({regex.escape(t.rstrip('.')) for t in [*TITLES, *(x for v in TITLES_OF.values() for x in v)]}))})\.?\s+\Z", regex.I)
+
+
+_at = regex.compile(r"(?:@|＠|(?<!\p{L})(?:at|arroba|chez)(?!\p{L})).*(?:\.|(?<!\p{L})(?:dot|punto)(?!\p{L}))", regex.I | regex.S)
+_before, _after = regex.compile(r"(?:[\p{L}\p{N}]|\p{N}[-/.]|\p{L}-)\Z"), regex.compile(r"[-/]?[\p{L}\p{N}]")
+
+
+def _formed(text: str, a: int, b: int, kind: str) -> bool:
+    """What the kinds are by definition: a name is of two words or stands behind a title; an e-mail address has a sign or word for @ and a dot behind it; the others have digits; and none is a part of a longer code."""
+    if kind == "name":
+        return bool(regex.search(r"\p{L}[\s,.]+\p{L}", text[a:b]) or _title.search(text, max(0, a - 16), a)) and not regex.match(r"\p{N}", text[b : b + 1])
+    if kind == "email":
+        return bool(_at.search(text, a, b))
+    return bool(regex.search(r"\p{N}", text[a:b])) and (kind != "address" or bool(regex.search(r"\p{L}", text[a:b]))) and not _before.search(text, max(0, a - 2), a) and not (kind != "address" and _after.match(text, b))
+
+
 _rest = regex.compile(r"(?:[-./]?\p{N})+(?:-?\p{L}(?![\p{L}\p{N}]))?")
 
 
 def _whole(text: str, values: list) -> list[tuple[int, int, str]]:
-    """A number's last group may have got no label: what goes on without a space belongs to it."""
+    """A number's last group may have got no label: what goes on without a space belongs to it. What isn't formed as its kind is no value."""
     out = []
     for k, (a, b, t) in enumerate(values):
         if t in ("phone", "ssn") and (m := _rest.match(text, b)):
             b = m.end() if k + 1 == len(values) or m.end() <= values[k + 1][0] else b
-        out.append((a, b, t))
+        if _formed(text, a, b, t):
+            out.append((a, b, t))
     return out
 
 

@@ -9,10 +9,10 @@ In a sentence a slot of capitals, such as <NAME> or <PHONE>, is a value of that
 
 from __future__ import annotations
 
+import math
+import random
 import re
 
-import numpy as np
-
 #: Common given and family names of several countries; the name lists of the query are added.
 GIVEN = """James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Lisa Matthew Nancy Anthony
 Emma Olivia Noah Liam Sophie Chloe Oliver Harry Amelia Grace Hans Klaus Jürgen Petra Sabine Ursula Heike Stefan Wolfgang Anja Lukas Leonie Pierre Jean Marie Camille Léa Hugo Élodie Benoît Aurélie
@@ -40,6 +40,18 @@ COMMON = {
 }
 NOUNS = "coffee train garden printer battery invoice window letter season bridge camera market report kitchen engine doctor teacher driver manager client reviewer neighbour river button filter service update ticket parcel meeting project screen bottle jacket lamp song chapter film museum station update lesson harvest ferry harbour tower cellar stove blanket ladder kettle".split()
 VERBS = "moved called broke opened closed sent wrote lost found asked painted cleaned returned fixed shipped tested praised carried measured ignored changed sold bought paid read planned delayed cancelled repaired printed wanted needed brought kept left started finished".split()
+#: Nouns of German, which are written with capitals; words that begin sentences, often before a name of a firm, product or place.
+NOUNS_DE = "Zug Bahnhof Lampe Rechnung Woche Monat Jahr Kapitel Stadt Haus Zeit Arbeit Kunde Lieferung Batterie Drucker Fenster Geduld Hafen Kaffee Karte Küche Laden Mitte Montag Morgen Nacht Preis Regen Schule Sommer Winter Stück Tag Tisch Weg Wetter Wort Ende Anfang Grund Hand Frage Antwort".split()
+OPENERS = {
+    "en": "Did Was Has Is Does Can Will Why When Where How After Before With Without In At On From By For Only Last Next Every Each Both Then Now Here There Still Once Since Our My Your Their This That These Two Three Some Most Honestly Yesterday Today According Nobody Everyone Please See".split(),
+    "fr": "Avec Sans Dans Pour Après Avant Selon Le La Les Un Une Notre Deux Trois Hier Ensuite Pourquoi Quand Est-ce Chez".split(),
+    "de": "Am Im Mit Ohne Nach Vor Bei Der Die Das Dieser Diese Dieses Letzten Nächste Alle Jeder Ein Eine Unser Zwei Drei Gestern Dann Warum Wann Hat Ist Laut Seit Es Man".split(),
+    "es": "Con Sin En Para Después Antes Según El La Los Un Una Nuestro Dos Tres Ayer Luego Por Cuando".split(),
+}
+#: Words that begin sentences before a comma.
+ADVERBS = "Honestly Sadly Luckily Finally Suddenly Meanwhile However Therefore Unfortunately Oddly Clearly Frankly Later Well Note Overall Besides Malheureusement Finalement Franchement Attention Enfin Leider Schließlich Achtung Übrigens Endlich Finalmente Sinceramente Además Atención Infelizmente Purtroppo".split()
+#: What is numbered.
+NUMBERED = "Room Hall Version Chapter Section Gate Page Part Step Level Floor Platform Track Table Row Seat Unit Box Model Type Class Grade Stage Phase Week Day Episode Season Volume Figure Line Route Zone Door Bay Item Batch Sprint Build Release Raum Kapitel Seite Salle Chapitre Capítulo Sala".split()
 PLACES = "Garden Park Market Museum Bridge Hotel Bank University Hospital School Theatre Library Airport Station Festival Award Prize Tower Castle Lake Island River Valley Hall Wing Gallery Harbour Beach Arena Stadium College Institute Cathedral Memorial Square Effect Theorem Disease Syndrome Act Treaty Cup Trophy Era Period Railway Line Terminal Quarter Village County".split()
 FIRMS = "Ltd Inc. LLC GmbH AG SA Corp. Group & Sons & Co. Brothers Partners LLP Holdings Industries Systems Labs Foods Motors Airlines Insurance Logistics Publishing Records Studios Bakery Pharmacy Books Electronics Software".replace("& ", "&_").split()
 THINGS = "Pro Max Plus Mini Ultra Edition Series Model Guide App Suite Player Phone Watch Tablet Kit Engine Console Set Pack Club Catalogue Ledger Express Shuttle Report Weekly Journal Classic".split()
@@ -82,39 +94,54 @@ class Maker:
     """Values and words by a seeded generator."""
 
     def __init__(self, seed: int, given: list[str], family: list[str]):
-        self.r = np.random.default_rng(seed)
+        self.r = random.Random(seed)
         self.given, self.family = [*given, *GIVEN], [*family, *FAMILY]
         self.listed = (given, family)
         self.lang, self.chains = "en", {}
 
     def pick(self, some):
-        return some[int(self.r.integers(len(some)))]
+        return some[int(self.r.random() * len(some))]
 
     def odd(self, p: float) -> bool:
-        return bool(self.r.random() < p)
+        return self.r.random() < p
 
     def digits(self, n: int) -> str:
-        return "".join(map(str, self.r.integers(0, 10, n)))
+        return "".join(self.r.choices("0123456789", k=n))
 
     def letters(self, n: int) -> str:
-        return "".join(chr(65 + int(x)) for x in self.r.integers(0, 26, n))
+        return "".join(self.r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n))
 
     def form(self, pattern: str) -> str:
         """9 is any digit, A any capital; the rest stands for itself."""
         return "".join(self.digits(1) if c == "9" else self.letters(1) if c == "A" else c for c in pattern)
 
     def number(self, hi: int) -> str:
-        return str(int(np.exp(self.r.random() * np.log(hi))))
+        return str(int(math.exp(self.r.random() * math.log(hi))))
 
     def invented(self) -> str:
-        return self.pick(FIRST).lower() + "".join(self.pick(MIDDLE) + self.pick("b c d f g k l m n p r s t v".split()) for _ in range(int(self.r.integers(1, 3)))) + (self.pick(MIDDLE) if self.odd(0.4) else "")
+        return self.pick(FIRST).lower() + "".join(self.pick(MIDDLE) + self.pick("b c d f g k l m n p r s t v".split()) for _ in range(self.r.randrange(1, 3))) + (self.pick(MIDDLE) if self.odd(0.4) else "")
 
     def word(self) -> str:
         k = self.r.random()
+        if self.lang == "de" and self.odd(0.2):
+            return self.pick(NOUNS_DE)
         return self.pick(COMMON[self.lang]) if k < 0.55 else self.pick(NOUNS) if k < 0.7 else self.pick(VERBS) if k < 0.8 else self.invented()
 
+    def opener(self) -> str:
+        """Words with capitals that begin a sentence or stand in it, and are no names."""
+        first = self.pick(OPENERS.get(self.lang, OPENERS["en"])) if self.odd(0.8) else self.pick(ADVERBS) + ","
+        after = self.pick(NOUNS_DE) if self.lang == "de" and self.odd(0.6) else self.invented().capitalize() if self.odd(0.4) else getattr(self, self.pick(["product", "firm", "city", "place"]))() if self.odd(0.4) else self.word()
+        return f"{first} {after}"
+
+    def numbered(self) -> str:
+        return f"{self.pick(NUMBERED)}{self.pick([' ', ' ', ' ', ' no. ', ' #'])}{self.pick([self.number(99), self.number(999), self.form('9.9'), self.form('9.9.9'), self.form('9') + 'A', self.form('999999999'), self.form('9999999')])}" + (self.pick(["-X", "-A", "/2", "b"]) if self.odd(0.1) else "")
+
+    def bare(self) -> str:
+        """A code or number with nothing that tells what it is."""
+        return self.form(self.pick(["AA-9999", "A9999", "AA-999", "A999A", "A-9999", "999.99", "99.99", "9999", "99999", "9.99", "AAA-999", "A99", "99-9999", "9999-99", "999", "999.9", "A9-99", "9A9A", "AA999"]))
+
     def words(self, lo: int, hi: int) -> str:
-        return " ".join(self.word() for _ in range(int(self.r.integers(lo, hi + 1))))
+        return " ".join(self.word() for _ in range(self.r.randrange(lo, hi + 1)))
 
     # names
     def alike(self, names: list[str]) -> str:
@@ -189,9 +216,9 @@ class Maker:
                        "+61 9 9999 9999", "+91 99999 99999", "+86 999 9999 9999", "+55 99 99999-9999", "(99) 99999-9999", "+31 9 99999999", "+41 99 999 99 99", "+353 99 999 9999", "099-9999-9999", "+81 99 9999 9999"])
         if self.odd(0.2):
             sep = self.pick([" ", "-", ".", " ", "/"])
-            p = "+" + "9" * int(self.r.integers(1, 4)) + sep + sep.join("9" * int(self.r.integers(2, 5)) for _ in range(int(self.r.integers(2, 5))))
+            p = "+" + "9" * self.r.randrange(1, 4) + sep + sep.join("9" * self.r.randrange(2, 5) for _ in range(self.r.randrange(2, 5)))
         out = self.form(p)
-        return out + (self.pick([" ext. ", " ext ", " x", " Ext. "]) + self.digits(int(self.r.integers(2, 5))) if self.odd(0.06) else "")
+        return out + (self.pick([" ext. ", " ext ", " x", " Ext. "]) + self.digits(self.r.randrange(2, 5)) if self.odd(0.06) else "")
 
     def SSN(self) -> str:
         return self.form(self.pick(["999-99-9999", "999 99 9999", "999.99.9999", "999999999", "999-99-9999", "999-99-9999", "AA 99 99 99 A", "AA999999A", "AA 999999 A", "99999999A", "99999999-A", "A9999999A", "A-9999999-A", "9 99 99 99 999 999 99", "9999999999999", "99 999 999 999", "99999999999", "999.999.999-99", "9999 9999 9999", "999999-9999", "756.9999.9999.99", "999-999-999", "999 999 999", "AAAAAA99A99A999A", "99.999.999", "99.99.99-999.99"]))
@@ -279,12 +306,17 @@ def _sentence(m: Maker) -> list[tuple[str, str | None]]:
             parts.append((getattr(m, kind)(), kind.lower()))
 
     def plain() -> None:
-        kind = m.pick(["code", "code", "price", "measure", "date", "firm", "place", "street", "product", "city", "place", "firm", "product"])
+        kind = m.pick(["code", "code", "price", "measure", "date", "firm", "place", "street", "product", "city", "place", "firm", "product", "numbered", "numbered", "bare", "bare"])
+        if kind == "bare" and m.odd(0.5):
+            text("(" + m.bare() + ")")
+            return
         if kind in ("code", "price", "measure") and m.odd(0.75):
-            text(cue(PLAIN) + m.pick([" ", " ", ": ", " #", " no. ", " = ", " of "]))
+            text(cue(PLAIN) + (" " + m.pick(NOUNS + ["run", "id", "copy", "list", "file", "code", "number"]) if m.odd(0.3) else "") + m.pick([" ", " ", " ", ": ", " #", " no. ", " = ", " of "]))
         text(getattr(m, kind)())
 
     def carrier(lo: int, hi: int) -> str:
+        if m.odd(0.35):
+            return m.opener() + (" " + m.words(1, hi) if m.odd(0.8) else "")
         w = m.words(lo, hi)
         return w[:1].upper() + w[1:] if m.odd(0.8) else w
 
@@ -295,13 +327,15 @@ def _sentence(m: Maker) -> list[tuple[str, str | None]]:
         if m.odd(0.5):
             text(carrier(1, 5) + " ")
         c = cue(CUES[kind])
+        if m.odd(0.6 if not parts else 0.15):
+            c = c[:1].upper() + c[1:]
         bare = kind in ("NAME", "EMAIL", "PHONE", "ADDRESS") and m.odd(0.1)
         j = "" if bare else joint() if not c.endswith(",") else m.pick([" ", "\n"])
         text(("" if bare else c) + j)
         value(kind)
         text(")" if j == " (" else "")
         if m.odd(0.6):
-            text(m.pick([" ", " ", ", ", "; ", " – "]) + m.words(1, 6))
+            text(m.pick([" ", " ", ", ", "; ", " – ", "\n"]) + m.words(1, 6))
     elif k < 0.56:  # names, numbers and addresses without a cue
         kind = m.pick(["NAME", "NAME", "NAME", "NAME", "PHONE", "EMAIL", "ADDRESS"])
         if m.odd(0.45):
@@ -328,7 +362,7 @@ def _sentence(m: Maker) -> list[tuple[str, str | None]]:
         if m.odd(0.4):
             text(m.pick([" ", ", ", "; "]) + m.words(1, 5))
     else:  # no value at all
-        for i in range(int(m.r.integers(1, 4))):
+        for i in range(m.r.randrange(1, 4)):
             if m.odd(0.7):
                 text(carrier(1, 6) if not i else m.words(1, 6))
                 text(m.pick([" ", " ", " ", ", ", " (", ": "]))
@@ -339,13 +373,13 @@ def _sentence(m: Maker) -> list[tuple[str, str | None]]:
     return parts
 
 
-def labelled(given: list[str], family: list[str], sentences: int = 10_000, seed: int = 6) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled(given: list[str], family: list[str], sentences: int = 14_000, seed: int = 6) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Texts of a few sentences with the spans (start, past, type) of their values; some in lower or upper case."""
     m = Maker(seed, given, family)
     out = []
     while sentences > 0:
         text, spans = "", []
-        for _ in range(int(m.r.integers(1, 4))):
+        for _ in range(m.r.randrange(1, 4)):
             sentences -= 1
             if text:
                 text += m.pick([" ", " ", " ", "\n", "\n\n"])
