@@ -1,10 +1,10 @@
 """Problem 8: filling containers of fixed capacity with documents, by best-two-fit.
 
 Sizes are counted in tokens by problem 7's encoder; only ids and sizes are shuffled. The pieces are dealt by the hash of
-their document to groups of about GROUP pieces, and each group is packed by itself: a group wastes at most the
-rest of its last few containers. Within a group only the stock of pieces of each size matters: a container is filled greedily with the
+their document and number to groups of about GROUP pieces, so that a huge document is spread, and each group is packed by itself: a group wastes at most the
+rest of its last few containers. Pieces of exactly the capacity are containers by themselves and go to no group. Within a group only the stock of pieces of each size matters: a container is filled greedily with the
 largest piece that fits; then its smallest piece is replaced with the two pieces in stock that fit the expanded gap
-most tightly, as long as that leaves less room. Pieces of less than a sixth of the capacity take no part in that; they fill what is left.
+most tightly, as long as that leaves less room.
 
 A document larger than the capacity is cut into pieces of exactly the capacity and a rest; no other is split. A
 document without tokens (null or empty text) takes no room: it has one row without container. Repeated ids
@@ -49,22 +49,21 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
             part = below[s:]
             part[part < s] = s
 
-    def fill(gap: int, inside: list[int], least: int) -> int:
-        while gap and (s := int(below[gap])) >= max(1, least):
+    def fill(gap: int, inside: list[int]) -> int:
+        while gap and (s := int(below[gap])):
             take(s)
             inside.append(s)
             gap -= s
         return gap
 
-    small = capacity // 6  # pieces below a sixth only fill what the others leave
     box, left = 0, len(sizes)
     while left:
         inside: list[int] = []
-        gap = fill(capacity, inside, small)
+        gap = fill(capacity, inside)
         while gap and len(inside) > 1:
             least = min(inside)
             room = gap + least
-            first = small + np.flatnonzero(stock[small : room // 2 + 1]) if small else np.flatnonzero(stock[: room // 2 + 1])  # the smaller of the two
+            first = np.flatnonzero(stock[: room // 2 + 1])  # the smaller of the two
             if not len(first):
                 break
             second = below[room - first]
@@ -80,7 +79,6 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
             inside.remove(least)
             inside += [a, b]
             gap = room - a - b
-        fill(gap, inside, 1)
         for s in inside:
             ends[s] -= 1
             out[order[ends[s]]] = box
@@ -96,9 +94,11 @@ def packed(sizes: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
     n = cut(sizes)
     has = n.where("n > 0")
     pieces = has.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, CAST((n - 1) DIV {capacity} AS INT)), k -> CAST(least({capacity}, n - k * {capacity}) AS INT))")).alias("k", "n_tokens"))
-    # the number of groups is one row; a piece of exactly the capacity needs no packing but costs nothing there either
-    count = has.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.ceil(F.col("n") / capacity)) / group)).cast("bigint").alias("g"))
-    dealt = pieces.crossJoin(F.broadcast(count)).withColumn("grp", F.pmod(F.xxhash64("doc_id"), "g"))
+    whole = pieces.where(F.col("n_tokens") == capacity).select(F.concat(F.lit("full-"), F.monotonically_increasing_id()).alias("container"), "doc_id", (F.col("k") + 1).alias("piece_no"), (F.col("k").cast("bigint") * capacity).alias("first_token"), "n_tokens", F.lit(capacity).cast("bigint").alias("fill"))
+    rest = pieces.where(F.col("n_tokens") < capacity)
+    # the number of groups is one row: each document has at most one piece below the capacity
+    count = has.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / group)).cast("bigint").alias("g"))
+    dealt = rest.crossJoin(F.broadcast(count)).withColumn("grp", F.pmod(F.xxhash64("doc_id", "k", "n_tokens"), "g"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "k"], kind="stable")
@@ -109,7 +109,7 @@ def packed(sizes: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
     schema = "container string, doc_id bigint, piece_no int, first_token bigint, n_tokens int, fill bigint"
     out = dealt.groupBy("grp").applyInPandas(run, schema)
     none = n.where("n = 0").select(F.lit(None).cast("string").alias("container"), "doc_id", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("first_token"), F.lit(0).alias("n_tokens"), F.lit(None).cast("bigint").alias("fill"))
-    return out.unionByName(none)
+    return out.unionByName(whole).unionByName(none)
 
 
 def containers(sizes: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
