@@ -2,9 +2,9 @@
 
 The words of a text are labelled by forward-backward. A word's features are its affixes and inner n-grams (1 to 4
 characters, with marks for the word's ends) and its language in the lexicon of the training rows; the
-transitions are learned with them. Training takes SAMPLE rows whose label names a language, by the hash of their id, so that
-wrong labels are as rare in each language's texts as in the table; a first model drops the rows that it reads otherwise,
-and a second one is trained on at most PER_LANGUAGE of those left for each language, also on texts joined from several languages. Everything else covers all rows.
+transitions are learned with them. Training takes at most SAMPLE whole texts for each language that labels name, by the hash of their id, so that a
+rare language is learned as well as a common one; a first model drops the texts that it reads otherwise,
+and a second one is trained on at most PER_LANGUAGE of those left for each language, also on texts joined from several languages. Everything else covers all rows, whole texts and whole words.
 
 A segment is a longest run of one language of at least CLAUSE words (Han characters count as parts of words); shorter runs go to
 their neighbour. Its confidence is the mean posterior of its words. A text whose words make no clause is one segment.
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +38,11 @@ NAMES = {
 }
 LANGUAGES = tuple(NAMES)
 N = len(LANGUAGES)
-#: Bounds of the training rows, in all and of a language; words of a segment, feature weights (a power of two), longest word.
-SAMPLE, PER_LANGUAGE, CLAUSE, SPACE, LONG = 4000, 250, 3.0, 1 << 16, 24
+#: Bounds of a language's training rows, labelled as it and read as labelled; words of a segment, feature weights (a power of two).
+SAMPLE, PER_LANGUAGE, CLAUSE, SPACE = 500, 250, 3.0, 1 << 16
 
 #: Words; letters of codes such as XY-1234 or A12B are none.
-_token = regex.compile(rf"\p{{Han}}{{1,2}}|(?<!\p{{N}})[[\p{{L}}\p{{M}}]--\p{{Han}}]{{1,{LONG}}}+(?!\p{{N}}|-\p{{N}})", regex.V1)
+_token = regex.compile(rf"\p{{Han}}{{1,2}}|(?<!\p{{N}})[[\p{{L}}\p{{M}}]--\p{{Han}}]++(?!\p{{N}}|-\p{{N}})", regex.V1)
 
 
 def named(label: Column) -> Column:
@@ -52,54 +53,54 @@ def named(label: Column) -> Column:
 
 
 class Words:
-    """Feature numbers of words; row 0 of the weights stays zero."""
+    """Feature numbers of words of any length; row 0 of the weights stays zero."""
 
     def __init__(self, lexicon: tuple[np.ndarray, np.ndarray] | None = None):
         self.lexicon = lexicon
 
     @staticmethod
-    def codes(words: list[str]) -> np.ndarray:
-        """Code points in rows, with 1 before and 2 behind each word, then zeros."""
-        n = len(words)
-        length = np.fromiter(map(len, words), np.int64, n)
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        out = np.zeros((n, LONG + 2), np.uint64)
-        out[:, 0] = 1
-        row = np.repeat(np.arange(n), length)
-        out[row, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length) + 1] = flat
-        out[np.arange(n), length + 1] = 2
-        return out
+    def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points one after another, with 1 before and 2 behind each word; each one's word; where the words begin (with the end as last)."""
+        flat = np.frombuffer("".join(f"\x01{w}\x02" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        return flat, np.repeat(np.arange(len(words)), length), np.concatenate([[0], np.cumsum(length)])
 
     @staticmethod
-    def whole(codes: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(codes), np.uint64)
-        for j in range(codes.shape[1]):
-            h = h * np.uint64(0x100000001B3) ^ codes[:, j]
-        return mix(h)
-
-    def features(self, words: list[str]) -> np.ndarray:
-        c = self.codes(words)
-        width = int((c > 0).sum(1).max(initial=3))
-        c = c[:, :width]
-        out = []
+    def whole(words: list[str]) -> np.ndarray:
+        """One number for each word."""
+        if not words:
+            return np.zeros(0, np.uint64)
+        flat, owner, begin = Words.codes(words)
+        factor = np.cumprod(np.full(int(np.diff(begin).max()), 0x100000001B3, np.uint64))
+        return mix(np.add.reduceat(flat * factor[np.arange(len(flat)) - begin[owner]], begin[:-1]))
+
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, feature) pairs as two lists, and each word's lexicon feature (0 if none)."""
+        if not words:
+            return (np.zeros(0, np.int64),) * 3
+        flat, owner, begin = self.codes(words)
+        owners, out = [], []
         for n in range(1, 5):
-            if width < n:
+            m = len(flat) - n + 1
+            if m <= 0:
                 break
-            h = np.full((len(c), width - n + 1), np.uint64(n))
+            h = np.full(m, np.uint64(n))
             for j in range(n):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + c[:, j : j + width - n + 1]
-            f = (mix(h) >> np.uint64(48)).astype(np.int64) & (SPACE - 1)
-            f[c[:, n - 1 :] == 0] = 0
-            if n == 1:
-                f[c <= 2] = 0
-            out.append(f)
-        h = self.whole(self.codes(words))
+                h = h * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + m]
+            inside = np.flatnonzero(owner[:m] == owner[n - 1 :] if n > 1 else flat > 2)
+            owners.append(owner[inside])
+            out.append((mix(h[inside]) >> np.uint64(48)).astype(np.int64) & (SPACE - 1))
         lex = np.zeros(len(words), np.int64)
         if self.lexicon and len(self.lexicon[0]):
+            h = self.whole(words)
             k = np.minimum(np.searchsorted(self.lexicon[0], h), len(self.lexicon[0]) - 1)
             lex = np.where(self.lexicon[0][k] == h, SPACE + self.lexicon[1][k], 0)
-        out.append(lex[:, None])
-        return np.concatenate(out, 1)
+        return np.concatenate([*owners, np.arange(len(words))]), np.concatenate([*out, lex]), lex
+
+
+def summed(weights: np.ndarray, rows: np.ndarray, flat: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the features' weights for each of n words."""
+    return np.stack([np.bincount(rows, weights[flat, k], n) for k in range(weights.shape[1])], 1).astype(np.float32)
 
 
 def tokens(text: str) -> list[str]:
@@ -116,12 +117,9 @@ class Field:
         self.listed = np.zeros(0, bool)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        f = self.words.features(words)
-        out = np.zeros((len(words), N), np.float32)
-        for j in range(f.shape[1]):
-            out += self.weights[f[:, j]]
-        self.listed = np.concatenate([self.listed, f[:, -1] > 0])
-        return out
+        rows, flat, lex = self.words.features(words)
+        self.listed = np.concatenate([self.listed, lex > 0])
+        return summed(self.weights, rows, flat, len(words))
 
     def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Numbers of the words, whose emissions are then known."""
@@ -148,15 +146,15 @@ class Field:
 
 
 def _lexicon(texts: list[list[str]], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Words with at least three occurrences in the training texts, seven tenths of them in one language."""
+    """Words that seven tenths of their training texts show to be of one language, two doubtful texts counted in: names, which all languages share, are seldom so by chance."""
     count: dict[str, np.ndarray] = {}
     for t, y in zip(texts, labels):
-        for w in t:
+        for w in set(t):
             count.setdefault(w, np.zeros(N))[y] += 1
-    some = [(w, int(c.argmax())) for w, c in count.items() if c.sum() >= 3 and c.max() >= 0.7 * c.sum()]
+    some = [(w, int(c.argmax())) for w, c in count.items() if c.max() >= 0.7 * (c.sum() + 2)]
     if not some:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = Words.whole(Words.codes([w for w, _ in some]))
+    h = Words.whole([w for w, _ in some])
     order = np.argsort(h)
     return h[order], np.array([y for _, y in some])[order]
 
@@ -168,10 +166,10 @@ def _train(texts: list[list[str]], paths: list[np.ndarray], lexicon: tuple, roun
         return field
     vocabulary: dict[str, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int64) for t in texts]
-    f = field.words.features(list(vocabulary))
-    flat, rows = f.ravel(), np.repeat(np.arange(len(f)), f.shape[1])
+    n = len(vocabulary)
+    rows, flat, _ = field.words.features(list(vocabulary))
     # features of fewer than three words tell more of their text than of its language
-    keep = (flat > 0) & ((np.bincount(np.unique(flat * len(f) + rows) // len(f), minlength=SPACE + N)[flat] >= 3) | (flat >= SPACE))
+    keep = (flat > 0) & ((np.bincount(np.unique(flat * n + rows) // n, minlength=SPACE + N)[flat] >= 3) | (flat >= SPACE))
     flat, rows = flat[keep], rows[keep]
     by = np.argsort(flat, kind="stable")
     flat, rows = flat[by], rows[by]
@@ -180,15 +178,13 @@ def _train(texts: list[list[str]], paths: list[np.ndarray], lexicon: tuple, roun
     used = flat[edge]
     order = np.argsort([len(x) for x in ids], kind="stable")
     gold_moves = np.zeros((N, N))
-    gold_words = np.zeros((len(f), N))
+    gold_words = np.zeros((n, N))
     for x, y in zip(ids, paths):
         np.add.at(gold_words, (x, y), 1)
         np.add.at(gold_moves, (y[:-1], y[1:]), 1)
     seen_w, seen_m = np.full((len(used), N), 1e-3), np.full((N, N), 1e-3)
     for _ in range(rounds):
-        emission = np.zeros((len(f), N), np.float32)
-        for j in range(f.shape[1]):
-            emission += field.weights[f[:, j]]
+        emission = summed(field.weights, rows, flat, n)
         move = np.exp(field.moves - field.moves.max()).astype(np.float32)
         g_words, g_moves = gold_words.copy(), gold_moves.copy()
         for s in range(0, len(order), 256):
@@ -198,7 +194,7 @@ def _train(texts: list[list[str]], paths: list[np.ndarray], lexicon: tuple, roun
             where = np.concatenate([ids[i] for i in some])
             p = np.concatenate(post)
             for k in range(N):
-                g_words[:, k] -= np.bincount(where, weights=p[:, k], minlength=len(f))
+                g_words[:, k] -= np.bincount(where, weights=p[:, k], minlength=n)
         if len(used):
             g = np.add.reduceat(g_words[rows], edge, axis=0) - 0.05 * field.weights[used]
             seen_w += g * g
@@ -211,8 +207,8 @@ def _train(texts: list[list[str]], paths: list[np.ndarray], lexicon: tuple, roun
 
 def train(rows: list[tuple[str, str]]) -> Field:
     """From (text, language code): a model of all rows, then one of those that it reads as labelled, with joined texts."""
-    rows = sorted(rows)  # the same model whatever the rows' order
-    texts = [tokens(t)[:120] for t, _ in rows]
+    rows = sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(r[0].encode("utf-8", "surrogatepass")), r))  # the same model whatever the rows' order
+    texts = [tokens(t) for t, _ in rows]
     labels = [LANGUAGES.index(y) for _, y in rows]
     keep = [i for i, t in enumerate(texts) if len(t) >= 4]
     texts, labels = [texts[i] for i in keep], [labels[i] for i in keep]
@@ -260,14 +256,20 @@ def segments(words: list[str], post: np.ndarray, known: np.ndarray) -> list[tupl
 
 
 def fit(samples: DataFrame) -> Field:
-    """The model, from at most SAMPLE labelled rows."""
+    """The model, from at most SAMPLE labelled rows of each language."""
     rows = samples.where("text is not null and language is not null").select("sample_id", "text", named(F.col("language")).alias("code")).where("code is not null")
-    # only hashes among which there are some four times as many rows as needed, so that not every task sends SAMPLE rows to the driver
-    share = 4 * SAMPLE / max(1, rows.count())
-    if share < 0.5:
-        rows = rows.where(F.xxhash64("sample_id") <= F.lit(int(-(2**63) + share * 2**64)))
-    top = rows.orderBy(F.xxhash64("sample_id"), "sample_id", "text").limit(SAMPLE).select("text", "code")
-    return train([(r["text"], r["code"]) for r in top.collect()])  # SAMPLE rows
+    have = {r["code"]: r["count"] for r in rows.groupBy("code").count().collect()}  # at most one row for each language
+    if not have:
+        return train([])
+    # hashes among which there are somewhat more rows of a language than needed
+    least = F.element_at(F.create_map(*[F.lit(x) for code, n in have.items() for x in (code, int(min(2**63 - 1, -(2**63) + 1.2 * SAMPLE / n * 2**64)))]), F.col("code"))
+    h = F.xxhash64("sample_id")
+    got = rows.where(h <= least).withColumn("h", h).orderBy("h", "sample_id", "text").limit(2 * SAMPLE * N).select("text", "code").collect()  # bounded by the limit
+    few: dict[str, list[tuple[str, str]]] = {}
+    for r in got:
+        if len(few.setdefault(r["code"], [])) < SAMPLE:
+            few[r["code"]].append((r["text"], r["code"]))
+    return train([x for v in few.values() for x in v])
 
 
 def labelled(samples: DataFrame, id_col: str = "sample_id", text_col: str = "text", label_col: str = "language") -> DataFrame:

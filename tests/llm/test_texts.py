@@ -255,3 +255,19 @@ def test_garbled_documents(spark):
     assert [r.doc_id for r in p9_garbled.found(df).collect()] == [0]
     assert p9_garbled.restored(df).first().text == "el niño y la señora, también café " * 3
     assert p9_garbled.found(df.limit(0)).count() == 0
+
+
+def test_long_words_are_one_word():
+    word = "donaudampfschifffahrtsgesellschaftskapitän" * 40
+    assert p5_language.tokens(f"Der {word} kam.") == ["der", word, "kam"]
+    rows, flat, lex = p5_language.Words().features(["a", word, "ab"])
+    assert np.bincount(rows)[1] == len(word) * 4 + 1 and len(rows) == len(flat) and (lex == 0).all()
+    h = p5_language.Words.whole(["ab", "ba", word, "ab"])
+    assert h[0] == h[3] and len(set(h.tolist())) == 3
+
+
+def test_pieces_of_one_document_are_spread(spark):
+    p = p8_containers.packed(spark.createDataFrame([(1, 2048 * 500 + 7), (2, 10), (None, 2048)], "doc_id bigint, n bigint"), group=1).toPandas()
+    full = p[p.n_tokens == 2048]
+    assert len(full) == 501 and full.container.nunique() == 501 and (full.fill == 2048).all()
+    assert p.n_tokens.sum() == 2048 * 501 + 17
