@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.functions.tables import cut, running
 from lexloom.operators import quality
 
 
@@ -17,8 +18,23 @@ def _texts(df: DataFrame, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull() & (F.col(text) != ""))
 
 
+def tokenised(df: DataFrame, id_col: str, text: str = "text", *keep: str) -> DataFrame:
+    """One row for each text with: id, t (lower-case tokens), terms (of TF-IDF), n_sentences, punctuation (hash of the pattern), and the columns of `keep`. Written once; the measures read it instead of splitting texts again."""
+    d = T.spread(_texts(df, text).select(F.col(id_col).alias("id"), F.col(text).alias("_x"), *keep), "id")
+    return cut(d.select("id", *keep, T.tokens(F.lower("_x")).alias("t"), tfidf_terms(F.col("_x")).alias("terms"), F.size(T.sentences("_x")).alias("n_sentences"), F.md5(T.punctuation("_x")).alias("punctuation")))
+
+
+def _tokens(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, t): rows that tokenised() made as they are; others are split."""
+    if "t" in df.columns and "punctuation" in df.columns:
+        return df.select("id", "t")
+    return T.spread(_texts(df, text).select(F.col(id_col).alias("id"), F.col(text).alias("_x")), "id").select("id", T.tokens(F.lower("_x")).alias("t"))
+
+
 def words(df: DataFrame, text: str = "text") -> DataFrame:
     """One row for each lower-case token: word."""
+    if "t" in df.columns and "punctuation" in df.columns:
+        return df.select(F.explode("t").alias("word"))
     return T.spread(_texts(df, text).select(text), text).select(F.explode(T.tokens(F.lower(text))).alias("word"))
 
 
@@ -45,8 +61,8 @@ def semantic_diversity(df: DataFrame, id_col: str, text: str = "text", features:
     The mean over pairs is (|sum of the unit vectors|^2 - number of non-zero vectors) / (n (n - 1)). Vocabulary: the terms of the highest
     counts, ties by term; smooth idf. Fewer than two texts give 1.
     """
-    docs = T.spread(_texts(df, text).select(F.col(id_col).alias("id"), F.col(text).alias("t")), "id")
-    tf = docs.select("id", F.explode(tfidf_terms(F.col("t"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    docs = df.select("id", "terms") if "terms" in df.columns and "punctuation" in df.columns else T.spread(_texts(df, text).select(F.col(id_col).alias("id"), F.col(text).alias("_x")), "id").select("id", tfidf_terms(F.col("_x")).alias("terms"))
+    tf = docs.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     top = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(features)
     n = docs.agg(F.count("*").alias("n"))
     idf = top.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -61,7 +77,7 @@ def semantic_diversity(df: DataFrame, id_col: str, text: str = "text", features:
 
 def structural_diversity(df: DataFrame, text: str = "text") -> DataFrame:
     """Mean of the shares of distinct sentence counts and of distinct punctuation patterns."""
-    d = _texts(df, text).select(F.size(T.sentences(text)).alias("k"), F.md5(T.punctuation(text)).alias("p"))
+    d = df.select(F.col("n_sentences").alias("k"), F.col("punctuation").alias("p")) if "n_sentences" in df.columns and "punctuation" in df.columns else _texts(df, text).select(F.size(T.sentences(text)).alias("k"), F.md5(T.punctuation(text)).alias("p"))
     sizes = d.groupBy("k").agg(F.count("*").alias("n")).agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     patterns = d.groupBy("p").agg(F.count("*").alias("c")).agg(F.count("*").alias("p"))
     return sizes.crossJoin(patterns).select(F.coalesce((F.col("k") / F.nullif("n", F.lit(0)) + F.col("p") / F.nullif("n", F.lit(0))) / 2, F.lit(0.0)).alias("structural_diversity"))
@@ -88,8 +104,12 @@ def near_pairs(df: DataFrame, id_col: str, text: str = "text", threshold: float
     Rows of equal word sets are one class, represented by its smallest id; see `word_set_classes` for the members. Words are ordered by their
     frequency; two sets of the similarity share one of the rarest words of both. Only sets whose sizes allow it meet.
     """
-    reps = word_set_classes(df, id_col, text)
-    sets = reps.select(F.col("rep").alias("id"), "words").distinct()
+    _, sets = _word_sets(df, id_col, text)
+    return _near(sets, threshold)
+
+
+def _near(sets: DataFrame, threshold: float) -> DataFrame:
+    """near_pairs() of one row for each word set: id, words."""
     each = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
     freq = each.groupBy("w").agg(F.count("*").alias("f"))
     ranked = each.join(freq, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o")).select("id", "n", F.transform("o", lambda x: x["w"]).alias("o"))
@@ -102,16 +122,24 @@ def near_pairs(df: DataFrame, id_col: str, text: str = "text", threshold: float
     return both.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), (F.col("i") / (F.size("wa") + F.size("wb") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
 
+def _word_sets(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rep, members), one row for each class of equal sets of words, and (id, words) of the representatives. Classes are found by 128-bit hashes; the sets themselves are fetched for the representatives only."""
+    d = cut(_tokens(df, id_col, text).select("id", F.array_sort(F.array_distinct("t")).alias("words")).where(F.size("words") > 0).withColumn("h", F.md5(F.array_join("words", "\x01"))))
+    classes = cut(d.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
+    sets = d.join(classes.select("h", F.col("rep").alias("id")), ["h", "id"]).select("id", "words").dropDuplicates(["id"])
+    return classes.select("rep", "members"), cut(sets)
+
+
 def word_set_classes(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """One row for each class of equal sets of lower-case words: rep (smallest id), members, words."""
-    d = T.spread(_texts(df, text).select(F.col(id_col).alias("id"), text), "id").select("id", F.array_sort(F.array_distinct(T.tokens(F.lower(text)))).alias("words")).where(F.size("words") > 0)
-    return d.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
+    classes, sets = _word_sets(df, id_col, text)
+    return classes.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "members", "words")
 
 
 def near_duplicate_ratio(df: DataFrame, id_col: str, text: str = "text", threshold: float = 0.9) -> DataFrame:
     """Pairs of rows with similar word sets over all pairs of rows that have words. Pairs within and between classes are counted, not made."""
-    c = word_set_classes(df, id_col, text).select("rep", "members")
-    p = near_pairs(df, id_col, text, threshold)
+    c, sets = _word_sets(df, id_col, text)
+    p = _near(sets, threshold)
     m = c.toDF("id_a", "ma")
     across = p.join(m, "id_a").join(m.toDF("id_b", "mb"), "id_b").agg(F.coalesce(F.sum(F.col("ma") * F.col("mb")), F.lit(0)).alias("x"))
     inside = c.agg(F.coalesce(F.sum(F.expr("members * (members - 1) div 2")), F.lit(0)).alias("i"), F.coalesce(F.sum("members"), F.lit(0)).alias("m"))
@@ -122,10 +150,10 @@ def near_duplicate_ratio(df: DataFrame, id_col: str, text: str = "text", thresho
 def distinct_n(df: DataFrame, id_col: str, n: int, text: str = "text", stitched: bool = True) -> DataFrame:
     """n_grams, distinct_grams and their ratio; `stitched` also counts the n-grams that run from one text into the next, in the order of the ids.
 
-    Inner n-grams never leave their row. For the joints only the first and last n - 1 tokens of each text are sorted, in ranges of ids: each
-    range is stitched by itself and the ranges' ends once more, so no window runs over all rows in one task.
+    Inner n-grams never leave their row. For the joints each text's place in the row of all tokens is a running sum over ranges of ids, and only its first and last
+    n - 1 tokens are shuffled, by their places.
     """
-    d = T.spread(_texts(df, text).select(F.col(id_col).alias("id"), text), "id").select("id", T.tokens(F.lower(text)).alias("t")).where(F.size("t") > 0)
+    d = _tokens(df, id_col, text).where(F.size("t") > 0)
     if n == 1:
         grams = d.select(F.explode("t").alias("g"))
     else:
@@ -138,50 +166,24 @@ def distinct_n(df: DataFrame, id_col: str, n: int, text: str = "text", stitched:
 
 
 def _joints(d: DataFrame, n: int) -> DataFrame:
-    """The n-grams across the ends of neighbouring texts. Short texts (fewer than n - 1 tokens) are carried through the running tail."""
-    spark = d.sparkSession
-    m = n - 1
-    ends = d.select("id", F.slice("t", F.lit(1), F.lit(m)).alias("head"), F.when(F.size("t") > m, F.slice("t", -m, m)).otherwise(F.col("t")).alias("tail"), (F.size("t") > m).alias("long"))
-    parts = spark.sparkContext.defaultParallelism
-
-    ranged = ends.repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id())
-    done = ranged.groupBy("p").applyInPandas(_stitcher(n), "p int, g array<string>, first array<string>, last array<string>, whole boolean")
-    inner = done.select(F.explode("g").alias("g"))
-    # the ranges' own ends: as many rows as ranges
-    rows = done.select("p", F.col("first").alias("head"), F.col("last").alias("tail"), F.col("whole").alias("long"), F.col("p").cast("bigint").alias("id"))
-    outer = rows.drop("p").withColumn("p", F.lit(0)).groupBy("p").applyInPandas(_stitcher(n), "p int, g array<string>, first array<string>, last array<string>, whole boolean").select(F.explode("g").alias("g"))
-    return inner.unionAll(outer)
-
-
-def _stitcher(n: int):
-    m = n - 1
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("id", kind="stable")
-        carry: list[str] = []
-        out: list[str] = []
-        first: list[str] = []
-        size = 0
-        for head, tail, long in zip(pdf["head"], pdf["tail"], pdf["long"]):
-            head, tail = list(head), list(tail)
-            line = carry + head
-            out += [" ".join(line[i : i + n]) for i in range(len(carry)) if i + n <= len(line)]
-            if size < m:
-                first += head[: m - size]
-            size += m if long else len(tail)
-            carry = tail[-m:] if long else (carry + tail)[-m:]
-        return pd.DataFrame({"p": [int(pdf["p"].iloc[0])], "g": [out], "first": [first[:m]], "last": [carry], "whole": [size >= m and len(carry) == m]})
-
-    return run
+    """The n-grams across the ends of neighbouring texts: n tokens at places next to each other that are not all of one text."""
+    m, k = n - 1, F.col("k")
+    edge = lambda at, some: F.transform(F.slice("t", at, F.lit(m)), lambda w, i: F.struct((some + i).cast("bigint").alias("o"), w.alias("w")))
+    ends = d.select("id", F.size("t").cast("bigint").alias("k"), edge(F.lit(1), F.lit(0)).alias("head"), edge(F.greatest(F.lit(1), F.size("t") - m + 1), F.greatest(F.lit(0), F.size("t") - m)).alias("tail"))
+    placed = running(ends.select("id", "k", F.array_union("head", "tail").alias("e")), "id", k)
+    tokens = placed.select(F.col("before").alias("text"), F.col("before"), F.explode("e").alias("e")).select("text", (F.col("before") + F.col("e.o")).alias("at"), F.col("e.w").alias("w"))
+    # each token to the n-grams that it may be in
+    to = tokens.select(F.explode(F.sequence(F.col("at") - m, F.col("at"))).alias("g"), "text", "at", "w")
+    full = to.groupBy("g").agg(F.count("*").alias("c"), F.min("text").alias("a"), F.max("text").alias("b"), F.array_sort(F.collect_list(F.struct("at", "w"))).alias("x"))  # n tokens at most
+    return full.where((F.col("c") == n) & (F.col("a") < F.col("b"))).select(F.array_join(F.transform("x", lambda x: x["w"]), " ").alias("g"))
 
 
 def metrics(df: DataFrame, id_col: str, text: str = "text", label: str = "label", low: int = 10, high: int = 1000) -> DataFrame:
-    """All measures in one row. The scores come from one pass; each other measure from its own aggregation."""
+    """All measures in one row. Texts are split into tokens once for the scores and once to a table that all other measures read."""
     s = quality.score(df.select(id_col, text, label), text, low, high)
     has = F.col(text).isNotNull() & (F.col(text) != "")
     some = lambda c: F.when(has, c)
+    n = some(F.length(text))
     base = s.agg(
         F.count("*").alias("total_rows"),
         F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("overall_quality"),
@@ -190,8 +192,13 @@ def metrics(df: DataFrame, id_col: str, text: str = "text", label: str = "label"
         F.avg(some(F.col("bias_score"))).alias("bias_score"),
         F.avg(some(F.col("is_toxic").cast("int"))).alias("toxicity_score"),
         F.coalesce(F.bool_or(some(F.col("has_pii"))), F.lit(False)).alias("pii_detected"),
+        F.count(n).alias("total_samples"),
+        F.avg(n).alias("average_length"),
+        F.coalesce(F.stddev_samp(n), F.lit(0.0)).alias("length_std"),
     )
-    parts = [lengths(df, text), vocabulary(df, text), semantic_diversity(df, id_col, text), structural_diversity(df, text), class_balance(df, label), duplicate_ratio(df, text), near_duplicate_ratio(df, id_col, text), *(distinct_n(df, id_col, n, text).select(f"distinct_{n}") for n in (1, 2, 3))]
+    t = tokenised(df, id_col, text)
+    v = vocabulary(t).withColumn("distinct_1", F.col("lexical_diversity"))
+    parts = [v, semantic_diversity(t, "id"), structural_diversity(t), class_balance(df, label), duplicate_ratio(df, text), near_duplicate_ratio(t, "id"), *(distinct_n(t, "id", k).select(f"distinct_{k}") for k in (2, 3))]
     for p in parts:
         base = base.crossJoin(p)  # one row each
     return base

@@ -56,8 +56,11 @@ def auc(p: DataFrame, truth: str = "label", probabilities: str = "probabilities"
     """Macro mean of the one-vs-rest rank AUC (average ranks for ties). Equal scores are counted together, so ranks need one row for each distinct score."""
     e = p.where(F.col(truth).isNotNull()).select(F.col(truth).alias("t"), F.explode(probabilities).alias("x")).select("t", F.col("x.label").alias("c"), F.col("x.p").alias("s"))
     g = e.groupBy("c", "s").agg(F.count("*").alias("n"), F.sum((F.col("t") == F.col("c")).cast("bigint")).alias("pos"))
-    w = Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    # ranks within buckets of the score, and how many lie in the buckets below: a class is worked on by many tasks
+    g = g.withColumn("b", F.coalesce(F.floor(F.least(F.greatest(F.col("s"), F.lit(0.0)), F.lit(1.0)) * 4096).cast("int"), F.lit(-1)))
+    w = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = g.groupBy("c", "b").agg(F.sum("n").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(w("c").orderBy("b")), F.lit(0))).drop("k")
+    g = g.withColumn("inside", F.coalesce(F.sum("n").over(w("c", "b").orderBy("s")), F.lit(0))).join(before, ["c", "b"]).withColumn("below", F.col("inside") + F.col("before"))
     a = g.groupBy("c").agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("pos").alias("np"), (F.sum("n") - F.sum("pos")).alias("nn"))
     one = (F.col("ranks") - F.col("np") * (F.col("np") + 1) / 2) / F.nullif(F.col("np") * F.col("nn"), F.lit(0))
     return a.select(one.alias("auc")).agg(F.avg("auc").alias("auc_macro"))
@@ -126,24 +129,32 @@ def feature_loss(a: Column, b: Column) -> Column:
 def adaptive_weights(df: DataFrame, key: str, order: list[str], distill: str, hard: str, start: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
     """(key, step, w_distill, w_hard): after ten steps each weight moves by 0.01 times (its target - its share of the loss), within 0.1 and 0.9, and both are scaled to add up to 1.
 
-    A fold over each run's steps; a run is one log, of bounded length.
+    Each run's steps are sorted and streamed through one batched function, which carries four numbers from step to step; a run is never gathered.
     """
-    steps = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(distill).alias("d"), F.col(hard).alias("h")))).alias("a"))
-    zero = F.struct(F.lit(start[0]).alias("d"), F.lit(start[1]).alias("h"), F.lit(0).alias("k"), F.array().cast("array<struct<k:int,d:double,h:double>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        total = x["d"] + x["h"]
-        clip = lambda c: F.least(F.greatest(c, F.lit(0.1)), F.lit(0.9))
-        nd = clip(s["d"] + 0.01 * (start[0] - x["d"] / F.nullif(total, F.lit(0.0))))
-        nh = clip(s["h"] + 0.01 * (start[1] - x["h"] / F.nullif(total, F.lit(0.0))))
-        move = (s["k"] >= 10) & (total > 0)
-        d = F.when(move, nd / (nd + nh)).otherwise(s["d"])
-        h = F.when(move, nh / (nd + nh)).otherwise(s["h"])
-        k = s["k"] + 1
-        return F.struct(d.alias("d"), h.alias("h"), k.alias("k"), F.array_append(s["out"], F.struct(k.alias("k"), d.alias("d"), h.alias("h"))).alias("out"))
-
-    out = steps.select(key, F.explode(F.aggregate("a", zero, step)["out"]).alias("x"))
-    return out.select(key, F.col("x.k").alias("step"), F.col("x.d").alias("w_distill"), F.col("x.h").alias("w_hard"))
+    from pyspark.sql.types import StructField, StructType
+
+    schema = StructType([StructField(key, df.schema[key].dataType), *StructType.fromDDL("step int, w_distill double, w_hard double").fields])
+    rows = df.select(key, *order, F.col(distill).cast("double").alias("_d"), F.col(hard).cast("double").alias("_h"))
+
+    def run(parts):
+        import pandas as pd
+
+        now, k, d, h = None, 0, *start
+        for pdf in parts:
+            out = []
+            for name, x, y in zip(pdf[key], pdf["_d"], pdf["_h"]):
+                if k == 0 or name != now and not (pd.isna(name) and pd.isna(now)):
+                    now, k, d, h = name, 0, *start
+                total = x + y
+                if k >= 10 and total > 0:
+                    nd = min(max(d + 0.01 * (start[0] - x / total), 0.1), 0.9)
+                    nh = min(max(h + 0.01 * (start[1] - y / total), 0.1), 0.9)
+                    d, h = nd / (nd + nh), nh / (nd + nh)
+                k += 1
+                out.append((name, k, d, h))
+            yield pd.DataFrame(out, columns=[key, "step", "w_distill", "w_hard"])
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def epoch_metrics(batches: DataFrame) -> DataFrame:

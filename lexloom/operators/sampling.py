@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.functions.tables import numbered, ranked
+from lexloom.functions.tables import cut, numbered, ranked
 
 
 def undersample(df: DataFrame, id_col: str, label: str = "label", seed: int = 42) -> DataFrame:
@@ -83,17 +83,27 @@ def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def dictionary(df: DataFrame, text: str = "text") -> DataFrame:
-    """(word, word_id): ids from 1 in the order of the words' md5, which is uniform, so the ranks need no single task."""
-    w = T.spread(df.where(F.col(text).isNotNull()).select(text), text).select(F.explode(T.tokens(F.lower(text))).alias("word")).distinct()
+    """(word, word_id, n): ids from 1 in the order of the words' md5, which is uniform, so the ranks need no single task; n is the word's count."""
+    w = T.spread(df.where(F.col(text).isNotNull()).select(text), text).select(F.explode(T.tokens(F.lower(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     u = F.conv(F.substring(F.md5("word"), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    return ranked(w.withColumn("_h", F.md5("word")), [], u, "_h", "word_id").select("word", "word_id")
+    return ranked(cut(w.withColumn("_h", F.md5("word"))), [], u, "_h", "word_id").select("word", "word_id", "n")
+
+
+#: A word with at least one in COMMON of all tokens is common; there can be at most COMMON such words, so their list may be broadcast.
+COMMON = 2000
 
 
 def word_ids(df: DataFrame, id_col: str, text: str = "text", limit: int = 512) -> DataFrame:
-    """(id, input_ids, attention_mask): the ids of the first `limit` words of each text; texts without words have empty lists."""
+    """(id, input_ids, attention_mask): the ids of the first `limit` words of each text; texts without words have empty lists. Common words get their ids where they are; only the others are shuffled by word."""
     d = T.spread(df.select(id_col, text), id_col)
     each = d.select(id_col, F.posexplode(F.slice(T.tokens(F.lower(text)), 1, limit)).alias("k", "word"))
-    ids = each.join(dictionary(df, text), "word").groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word_id"))), lambda x: x["word_id"]).alias("input_ids"))
+    words = cut(dictionary(df, text))
+    least = words.agg((F.sum("n") / COMMON).alias("_least"))
+    common = words.crossJoin(F.broadcast(least)).where("n >= _least").select("word", F.col("word_id").alias("_id"))
+    marked = each.join(F.broadcast(common), "word", "left")
+    rare = marked.where("_id is null").select(id_col, "k", "word").join(words.select("word", "word_id"), "word").select(id_col, "k", "word_id")
+    ids = marked.where("_id is not null").select(id_col, "k", F.col("_id").alias("word_id")).unionByName(rare)
+    ids = ids.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word_id"))), lambda x: x["word_id"]).alias("input_ids"))  # `limit` words at most
     out = d.select(id_col).join(ids, id_col, "left").withColumn("input_ids", F.coalesce("input_ids", F.array().cast("array<bigint>")))
     return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
