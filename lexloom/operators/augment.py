@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 
-#: A small synonym list, words to insert and to delete, rewrites, punctuation and contractions.
-SYNONYMS = {"good": "excellent", "bad": "poor", "large": "big", "small": "tiny", "quick": "fast", "repair": "fix", "repaired": "fixed", "returned": "sent back", "improved": "bettered", "replaced": "swapped", "ignored": "overlooked", "delayed": "postponed", "honestly": "frankly", "price": "cost", "noisy": "loud", "quiet": "silent", "episode": "chapter", "invoice": "bill", "courier": "messenger", "guide": "manual", "second": "other", "first": "initial", "long": "lengthy", "whole": "entire"}
+#: A small built-in lexicon of common words; a table of (word, synonym) may take its place, see `lexicon`.
+SYNONYMS = {"big": "large", "small": "little", "fast": "rapid", "slow": "gradual", "happy": "glad", "sad": "unhappy", "begin": "start", "finish": "complete", "help": "assist", "buy": "purchase", "show": "display", "choose": "select", "keep": "retain", "need": "require", "give": "provide", "get": "obtain", "make": "create", "change": "alter", "important": "significant", "easy": "simple", "hard": "difficult", "right": "correct", "wrong": "incorrect", "good": "fine", "bad": "poor", "new": "recent", "old": "former", "house": "home", "work": "labour", "road": "street", "answer": "reply", "question": "query", "price": "cost", "half": "fifty percent", "long": "lengthy", "whole": "entire", "against": "contrary to", "again": "once more", "during": "throughout", "without": "lacking"}
 INSERT = ("really", "very", "quite", "extremely", "particularly", "especially", "however", "moreover", "furthermore", "additionally", "also", "indeed", "certainly", "absolutely", "definitely", "truly")
 ADVERBS = ("really", "very", "quite", "extremely", "particularly", "especially", "also", "indeed", "certainly", "absolutely", "definitely", "truly", "again", "never", "always", "often", "soon", "honestly", "oddly")
 REWRITES = (
@@ -33,11 +33,19 @@ def chance(seed: int, key: Column, tag: str) -> Column:
     return T.uniform(seed, key, tag)
 
 
-def synonyms(text: Column, seed: int, key: Column, p: float = 0.3) -> Column:
-    """Each listed word is replaced with chance p; words are joined by single spaces."""
-    table = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
+def lexicon(table: DataFrame, most: int = 20_000) -> dict[str, str]:
+    """A lexicon from a table of (word, synonym): of each word the first synonym. It becomes a part of the plan, so a table of more than `most` words is an error."""
+    rows = table.where("word is not null and synonym is not null").groupBy(F.lower("word").alias("word")).agg(F.min("synonym").alias("synonym")).limit(most + 1).collect()  # bounded by `most`
+    if len(rows) > most:
+        raise ValueError(f"more than {most} words in the lexicon")
+    return {r["word"]: r["synonym"] for r in rows}
+
+
+def synonyms(text: Column, seed: int, key: Column, p: float = 0.3, lexicon: dict[str, str] = SYNONYMS) -> Column:
+    """Each word of the lexicon is replaced with chance p; words are joined by single spaces."""
+    table = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv])
     words = F.split(T.squeeze(text), " ")
-    swap = lambda w, i: F.when((T.uniform(seed, F.concat_ws("/", key, i), "synonym") < p) & F.array_contains(T.literals(tuple(SYNONYMS)), F.lower(w)), F.element_at(table, F.lower(w))).otherwise(w)
+    swap = lambda w, i: F.when((T.uniform(seed, F.concat_ws("/", key, i), "synonym") < p) & F.array_contains(T.literals(tuple(lexicon)), F.lower(w)), F.element_at(table, F.lower(w))).otherwise(w)
     return F.array_join(F.transform(words, swap), " ")
 
 
@@ -111,7 +119,15 @@ def augment(df: DataFrame, id_col: str, text: str = "text", factor: float = 1.5,
     keep_length, variants outside 0.8 to 1.2 of the original length are dropped. Null texts have no variants.
     """
     d = T.spread(df.where(F.col(text).isNotNull()), id_col).withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(max(1, int(factor))))))
-    d = d.withColumn("_key", F.concat_ws("/", F.col(id_col).cast("string"), F.col("variant").cast("string"))).withColumn("original_text", F.col(text))
+    d = varied(d, F.concat_ws("/", F.col(id_col).cast("string"), F.col("variant").cast("string")), text, strategies, seed).where(F.col(text) != F.col("original_text"))
+    if keep_length:
+        d = d.where((F.length(text) / F.length("original_text")).between(0.8, 1.2))
+    return d.withColumn("source", F.lit("augmented")).withColumn("confidence", F.coalesce("confidence", F.lit(0.8)) * 0.9)
+
+
+def varied(df: DataFrame, key: Column, text: str = "text", strategies: tuple[str, ...] = STRATEGIES, seed: int = 42) -> DataFrame:
+    """Each row's text changed by one to three strategies, drawn by the hash of `key`; adds original_text and augmentation_strategies (those that changed the text, none for a text that stayed)."""
+    d = df.withColumn("_key", key).withColumn("original_text", F.col(text))
     key = F.col("_key")
     drawn = F.array_sort(F.array(*[F.struct(chance(seed, key, f"draw {s}").alias("u"), F.lit(s).alias("s")) for s in strategies]))
     k = F.least(F.lit(len(strategies)), (F.floor(chance(seed, key, "count") * 3) + 1).cast("int"))
@@ -124,10 +140,7 @@ def augment(df: DataFrame, id_col: str, text: str = "text", factor: float = 1.5,
             new = F.when(s == name, RULES[name](F.col(text), seed, key)).otherwise(new)
         d = T.once(d, _new=new)
         d = d.withColumn("_used", F.when(F.col("_new") != F.col(text), F.array_append("_used", s)).otherwise(F.col("_used"))).withColumn(text, F.coalesce("_new", text)).drop("_new")
-    d = d.where(F.col(text) != F.col("original_text"))
-    if keep_length:
-        d = d.where((F.length(text) / F.length("original_text")).between(0.8, 1.2))
-    return d.withColumn("augmentation_strategies", F.col("_used")).withColumn("source", F.lit("augmented")).withColumn("confidence", F.coalesce("confidence", F.lit(0.8)) * 0.9).drop("_key", "_drawn", "_used")
+    return d.withColumn("augmentation_strategies", F.col("_used")).drop("_key", "_drawn", "_used")
 
 
 def adversarial(df: DataFrame, id_col: str, n: int, text: str = "text", seed: int = 42) -> DataFrame:

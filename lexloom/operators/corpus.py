@@ -114,9 +114,11 @@ def _near(sets: DataFrame, threshold: float) -> DataFrame:
     freq = each.groupBy("w").agg(F.count("*").alias("f"))
     ranked = each.join(freq, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o")).select("id", "n", F.transform("o", lambda x: x["w"]).alias("o"))
     keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    prefix = ranked.select("id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("w"))
-    a, b = prefix.toDF("a", "na", "w"), prefix.toDF("b", "nb", "w")
-    met = a.join(b, "w").where("a < b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).select("a", "b").distinct()
+    prefix = ranked.select("id", "n", F.posexplode(F.slice("o", F.lit(1), keep)).alias("k", "w"))
+    a, b = prefix.toDF("a", "na", "ka", "w"), prefix.toDF("b", "nb", "kb", "w")
+    # the first word that two sets share stands so far ahead that enough words can follow it in both
+    enough = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    met = a.join(b, "w").where("a < b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).where(enough).select("a", "b").distinct()
     w = sets.toDF("a", "wa")
     both = met.join(w, "a").join(w.toDF("b", "wb"), "b").withColumn("i", F.size(F.array_intersect("wa", "wb")))
     return both.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), (F.col("i") / (F.size("wa") + F.size("wb") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)

@@ -35,6 +35,22 @@ def oversample(df: DataFrame, id_col: str, label: str = "label", target: int | N
     return out.select(*df.columns, "copy_no")
 
 
+def topped_up(df: DataFrame, id_col: str, text: str = "text", label: str = "label", target: int | None = None, within: int | None = None, seed: int = 42) -> DataFrame:
+    """oversample() with changed copies: each copy's text goes through synonyms, punctuation and inserted words; source is then `augmented`, confidence (0.8 if null) times 0.9. A copy that none of them
+    changes (or that has no text) stays a duplicate. within: at most so many copies of each row, as a top-up by sampling has (2).
+    """
+    from lexloom.operators.augment import varied
+
+    d = oversample(df.withColumn("_confidence", F.col("confidence")).withColumn("_text", F.col(text)), id_col, label, target, seed)
+    if within is not None:
+        d = d.where(F.col("copy_no") <= within)
+    v = varied(d, F.concat_ws("/", F.col(id_col).cast("string"), F.col("copy_no").cast("string")), text, ("synonym", "punctuation", "insert"), seed)
+    made = (F.col("copy_no") > 0) & (F.size("augmentation_strategies") > 0)
+    v = v.withColumn(text, F.when(made, F.col(text)).otherwise(F.col("_text"))).withColumn("source", F.when(made, F.lit("augmented")).otherwise(F.col("source")))
+    v = v.withColumn("confidence", F.when(made, F.coalesce("_confidence", F.lit(0.8)) * 0.9).otherwise(F.col("confidence")))
+    return v.select(*df.columns, "copy_no")
+
+
 def _quotas(counts: DataFrame, share: Column, name: str) -> DataFrame:
     """Whole numbers that add up to _want over the classes, in proportion to `share` (a column of _n), by largest remainder; ties by class."""
     exact = F.round(share, 9)

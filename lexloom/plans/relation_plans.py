@@ -83,6 +83,8 @@ PLANS: dict[str, tuple] = {
     "h09_recent_events": (lambda s, d: selection.recent(_events(s, d), "ts", "event_id", 50).select("event_id"), "select event_id from events order by ts desc, event_id desc limit 50"),
     "h10_ranked_models": (lambda s, d: selection.performance(_calls(s, d)).agg(F.max_by("model", F.struct("calls", "model")).alias("most_used"), F.min_by("model", F.struct("average_latency", "model")).alias("quickest")), f"with {PERF} select (select model_name from perf order by calls desc, model_name desc limit 1) most_used, (select model_name from perf order by average_latency, model_name limit 1) quickest"),
     "h12_dispatch_cost": (lambda s, d: selection.dispatch(_cand(s, d, provider="no such provider"), "cost", _rank(s), "heron-small"), "select 'heron-small' model_name"),
+    "h12_dispatch_quality": (lambda s, d: selection.dispatch(_cand(s, d), "quality", _rank(s), "heron-small"), f"with {PERF} select model_name from cand left join {RANK_SQL} using (model_name) order by coalesce(rank, 2147483647), model_name limit 1"),
+    "h12_dispatch_balanced": (lambda s, d: selection.dispatch(_cand(s, d), "balanced", _rank(s), "heron-small"), f"with {PERF} select coalesce((select model_name from cand join {RANK_SQL} using (model_name) order by rank limit 1), {CHEAP}) model_name"),
     "h12_dispatch_speed": (lambda s, d: selection.dispatch(_cand(s, d), "speed", _rank(s), "heron-small"), f"with {PERF} select model_name from cand order by case when tps > 0 then 1 / tps else average_latency end, model_name limit 1"),
     "h13_lookup": (lambda s, d: _calls(s, d).select("model").distinct().where("model is not null").join(_models(s, d).select(F.col("model_name").alias("model"), "context_length"), "model", "left").select("model", F.coalesce("context_length", F.lit(512)).cast("bigint").alias("context_length")), "select model, coalesce(context_length, 512)::BIGINT context_length from (select distinct model from generation_results where model is not null) left join model_info on model = model_name"),
     "i01_union_by_name": (lambda s, d: _samples(s, d).select("sample_id", "text").unionByName(_docs(s, d).select(F.col("doc_id").alias("sample_id"), "text", "lang"), allowMissingColumns=True).groupBy("lang").agg(F.count("*").alias("n")), "select lang, count(*) n from (select sample_id, text, null as lang from samples union all select doc_id, text, lang from documents) group by 1"),

@@ -43,6 +43,10 @@ PLANS: dict[str, tuple] = {
     "f01_undersample": (lambda s, d: sampling.undersample(_s(s, d).where("label in ('positive', 'negative', 'neutral', 'spam')"), "sample_id").select("sample_id", "label"), f"with d as (select sample_id, label from samples where label in ('positive', 'negative', 'neutral', 'spam')), r as (select *, row_number() over (partition by label order by {_u('under', 'sample_id')}, sample_id) rk from d) select sample_id, label from r where rk <= (select min(n) from (select count(*) n from d group by label))"),
     "f01_undersample_all": (lambda s, d: sampling.undersample(_s(s, d), "sample_id").select("sample_id", "label"), f"with d as (select sample_id, label from samples where label is not null), r as (select *, row_number() over (partition by label order by {_u('under', 'sample_id')}, sample_id) rk from d) select sample_id, label from r where rk <= (select min(n) from (select count(*) n from d group by label))"),
     "f02_oversample": (lambda s, d: sampling.oversample(_s(s, d), "sample_id").select("sample_id", "label", "source", F.round("confidence", 6).alias("confidence"), "copy_no"), _over(None)),
+    "f02_augmented": (lambda s, d: sampling.topped_up(_s(s, d), "sample_id").select("sample_id", "text", "label", "source", F.round("confidence", 6).alias("confidence"), "copy_no"), None),
+    "f02_augmented_classes": (lambda s, d: sampling.topped_up(_s(s, d), "sample_id").groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("copy_no") == 0).cast("bigint")).alias("originals")), "with c as (select label, count(*) k from samples where label is not null group by 1) select label, (select max(k) from c) n, k originals from c"),
+    "f03_augmented": (lambda s, d: sampling.topped_up(_s(s, d), "sample_id", target=120, within=2).select("sample_id", "text", "label", "source", F.round("confidence", 6).alias("confidence"), "copy_no"), None),
+    "f03_augmented_classes": (lambda s, d: sampling.topped_up(_s(s, d), "sample_id", target=120, within=2).groupBy("label").agg(F.count("*").alias("n")), "select label, greatest(count(*), least(120, 3 * count(*))) n from samples where label is not null group by 1"),
     "f03_top_up": (lambda s, d: sampling.oversample(_s(s, d), "sample_id", target=120).select("sample_id", "label", "source", F.round("confidence", 6).alias("confidence"), "copy_no"), _over(120)),
     "f04_split": (lambda s, d: sampling.split3(_s(s, d), "sample_id").select("sample_id", "part"), _split_sql(False)),
     "f05_split_sizes_first": (lambda s, d: sampling.split3(_s(s, d), "sample_id", sizes_first=True).select("sample_id", "part"), _split_sql(True)),

@@ -43,6 +43,12 @@ def _clean_sql() -> str:
     return out
 
 
+def _stored(s, d):
+    """Scanned rows with their stored matches, in the shape that the detector gives."""
+    m = _matches(s, d).groupBy("result_id").agg(F.collect_list(F.struct("pii_type", F.col("match_text").alias("text"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "confidence")).cast(pii.MATCHES).alias("matches"))
+    return _pii(s, d).where("has_pii is not null").select("result_id", "has_pii", "risk_score").join(m, "result_id", "left").withColumn("matches", F.coalesce("matches", F.array().cast(pii.MATCHES)))
+
+
 def _stream(s, d):
     return S.read(s, d, "events.parquet")
 
@@ -59,11 +65,13 @@ PLANS: dict[str, tuple] = {
     "m01_flags": (lambda s, d: pii.flags(_pii(s, d), "result_id", "original_text"), "select result_id, " + ", ".join(f"coalesce(regexp_matches(original_text, '{q(p)}'), false) {k}" for k, p in T.PERSONAL.items()) + " from pii_results"),
     "m02_luhn": (lambda s, d: _events(s, d).select("event_id", pii.luhn_valid(F.concat(F.lit("4"), F.lpad((F.col("event_id") * 7919).cast("string"), 15, "0"))).alias("ok")), LUHN),
     "m04_settled": (lambda s, d: pii.detect(_docs(s, d).select("doc_id", "text")).select("doc_id", F.size("matches").alias("n")), None),
+    "m05_detected": (lambda s, d: pii.detect(_pii(s, d).select("result_id", "original_text"), "original_text").select("result_id", "cleaned_text", "has_pii", F.round("risk_score", 6).alias("risk_score")), None),
+    "m06_removed": (lambda s, d: pii.detect(_pii(s, d).select("result_id", "original_text"), "original_text", mode="remove").select("result_id", "cleaned_text"), None),
     "m05_cleaned": (lambda s, d: _pii(s, d).select("result_id", pii.redact(F.col("original_text")).alias("cleaned")), f"select result_id, {_clean_sql()} cleaned from pii_results"),
     "m06_masked": (lambda s, d: pii.detect(_pii(s, d).select("result_id", "original_text"), "original_text", mode="mask").select("result_id", "cleaned_text"), None),
     "m07_risk": (lambda s, d: _r(_matches(s, d).groupBy("result_id").agg(F.collect_list("pii_type").alias("t")).select("result_id", pii.risk(F.col("t")).alias("risk"))), f"select result_id, round(least(max({RISK_SQL}) + least(count(*) * 0.1, 0.5), 1.0), 6)::DOUBLE risk from pii_matches group by 1"),
-    "m08_summary": (lambda s, d: _r(pii.batch_summary(_pii(s, d).where("has_pii is not null").select("has_pii", "risk_score", F.array().cast(pii.MATCHES).alias("matches")))), "select count(*) total, sum(has_pii::INT)::BIGINT with_pii, round(avg(has_pii::INT), 6) rate, round(avg(risk_score), 6) mean_risk, sum((risk_score > 0.7)::INT)::BIGINT high_risk, 0::BIGINT n_matches from pii_results where has_pii is not null"),
-    "m08_type_counts": (lambda s, d: _matches(s, d).groupBy("pii_type").agg(F.count("*").alias("n")), "select pii_type, count(*) n from pii_matches group by 1"),
+    "m08_summary": (lambda s, d: _r(pii.batch_summary(_stored(s, d))), "select count(*) total, sum(has_pii::INT)::BIGINT with_pii, round(avg(has_pii::INT), 6) rate, round(avg(risk_score), 6) mean_risk, sum((risk_score > 0.7)::INT)::BIGINT high_risk, (select count(*) from pii_matches m join pii_results r using (result_id) where r.has_pii is not null) n_matches from pii_results where has_pii is not null"),
+    "m08_type_counts": (lambda s, d: pii.type_counts(_stored(s, d)), "select m.pii_type, count(*) n from pii_matches m join pii_results r using (result_id) where r.has_pii is not null group by 1"),
     "m09_decision": (lambda s, d: _matches(s, d).groupBy("result_id").agg(F.collect_set("pii_type").alias("t")).join(_pii(s, d).select("result_id", "risk_score", F.when(F.pmod("task_id", F.lit(2)) == 0, "review").otherwise("training_data").alias("p")), "result_id").select("result_id", pii.decision(F.col("t"), F.col("risk_score"), F.col("p")).alias("ok")), "select m.result_id, not (coalesce(any_value(risk_score), 0) > 0.7 or any_value(task_id) % 2 = 1 or bool_or(pii_type in ('ssn', 'credit_card', 'passport'))) ok from pii_matches m join pii_results using (result_id) group by 1"),
     "m10_enriched": (lambda s, d: A.enrich(_log(s, d)).select("event_id", "message", F.array_join("tags", ",").alias("tags"), F.array_join("compliance_tags", ",").alias("compliance")), f"with {LOG} select event_id, message, event_type || ',' || level tags, tags compliance from lg"),
     "m11_digest": (lambda s, d: A.enrich(_log(s, d)).select("event_id", A.digest(F.col("event_id"), F.col("event_type"), F.col("message")).alias("h")), f"with {LOG} select event_id, sha256(event_id || event_type || message) h from lg"),

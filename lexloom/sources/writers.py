@@ -95,6 +95,13 @@ def export_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.to_json(F.struct(*sorted(metrics.columns))).alias("json"))
 
 
+def save_history(history: DataFrame, config: dict, folder: str) -> None:
+    """A training run's rows (one for each epoch) as training_history.json, and its configuration as training_config.json."""
+    base = folder.rstrip("/")
+    save(history, f"{base}/training_history.json", "json")
+    write_text(history.sparkSession, f"{base}/training_config.json", json.dumps(config, ensure_ascii=False, indent=2, default=str))
+
+
 def export_keys(keys: DataFrame, usage: bool = True) -> DataFrame:
     """Metadata of keys for export: the key itself only masked, its usage only if asked for."""
     from lexloom.operators.audit import mask

@@ -357,3 +357,32 @@ def test_all_measures_are_in_one_row(spark):
     for p in parts:
         for k, v in p.first().asDict().items():
             assert got[0][k] == pytest.approx(v, abs=1e-6), k
+
+
+def test_top_up_changes_copies_and_keeps_originals(spark):
+    rows = [(1, "The house is big.", "a", "s", None), (2, "", "b", "s", 0.5), (3, None, "b", "s", 1.0), (4, "A new road.", "b", "s", 1.0), (5, "x", None, "s", 1.0)]
+    d = spark.createDataFrame(rows, "id bigint, text string, label string, source string, confidence double")
+    got = sampling.topped_up(d, "id", target=4).collect()
+    assert sum(r.label == "a" for r in got) == 4 and sum(r.label == "b" for r in got) == 4
+    assert {(r.id, r.text) for r in got if r.copy_no == 0} == {(i, t) for i, t, l, _, _ in rows if l}
+    for r in got:
+        if r.copy_no:
+            original = next(x for x in rows if x[0] == r.id)
+            assert r.source == ("augmented" if r.text != original[1] else "duplicated")
+            assert abs(r.confidence - (original[4] or 0.8) * (0.9 if r.source == "augmented" else 0.8)) < 1e-9
+    assert any(r.source == "augmented" for r in got)
+    assert sampling.topped_up(d, "id", target=9, within=2).count() == 3 * 4
+    assert sampling.topped_up(d.limit(0), "id").count() == 0
+
+
+def test_lexicon_from_a_table(spark):
+    t = spark.createDataFrame([("House", "home"), ("house", "dwelling"), (None, "x"), ("y", None)], "word string, synonym string")
+    assert augment.lexicon(t) == {"house": "dwelling"}
+    with pytest.raises(ValueError):
+        augment.lexicon(t, most=0)
+
+
+def test_history_and_configuration_are_written(spark, tmp_path):
+    writers.save_history(spark.createDataFrame([(1, 0.5), (2, 0.25)], "epoch int, loss double"), {"rate": 0.1}, f"file://{tmp_path}/run")
+    assert spark.read.json(f"file://{tmp_path}/run/training_history.json", multiLine=True).count() == 2
+    assert spark.read.json(f"file://{tmp_path}/run/training_config.json", multiLine=True).first().rate == 0.1
