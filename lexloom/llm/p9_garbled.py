@@ -10,8 +10,8 @@ of which no byte is left, or more than one is lost, is filled by known words onl
 the decoded reading explains it as a whole: a text that only quotes such characters also holds sound characters beyond
 ASCII, which do not decode, or nothing that decodes to words.
 
-Null, empty and plain ASCII texts are sound. The word frequencies hold words of at least SHARE of all counted words,
-hence at most 1 / SHARE of them; all documents are counted.
+Null, empty and plain ASCII texts are sound. All words of all documents are counted, but those that are garbled themselves. The WORDS most frequent ones, of at least LEAST occurrences, are known words; the pairs
+of letters, by which all others are read, are counted over all words.
 """
 
 from __future__ import annotations
@@ -27,16 +27,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import spread
+from .base import cut, spread
 
 #: Code pages in which UTF-8 is often read, and those that are often read as Latin-1.
 READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "cp1254", "cp1256", "koi8_r", "gb18030")
 LEGACY = ("cp1256", "gb18030", "cp1251", "koi8_r", "cp1253", "big5", "shift_jis", "euc_kr")
-SHARE = 5e-6
+#: Bounds of what is broadcast: the most frequent words and pairs of letters.
+WORDS, PAIRS = 20_000, 200_000
+#: Occurrences from which a form counts as a known word, at any size of the table: rarer ones are as often accidents.
+LEAST = 3
 LOST = "�"
 #: Log odds of a place that stays open, of a lost byte that the page can hold, and of each further byte that a lost one stands for; signs beside letters that a lost byte often is of.
 OPEN, HELD, FURTHER, SIGNS = -40.0, -2.0, -3.0, "“”‘’–—…«»¿¡\u00a0。，、！？；：（）「」《》،؛؟।"
 
+#: Log odds that a passage is garbled, and of a sign beyond ASCII in a text.
+GARBLED, SIGN = -4.6, -7.0
+
 _units = regex.compile(r"[^\r\n]+")
 _sentences = regex.compile(r"(?<=[.!?।؟。！？]) +|(?<=[。！？])")
 _quoted = regex.compile(r"[\"'“”‘’«»„`][^\x00-\x7f]{1,3}[\"'“”‘’«»„`]")
@@ -45,6 +51,7 @@ _high = re.compile(r"[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™]{3,}")
 _wide = re.compile(r"[^\x00-\x7f]{2,} ?|[^\x00-\x7f] [^\x00-\x7f]?")
 _han = re.compile(r"[㐀-鿿\ue000-\uf8ff]")
 _word = regex.compile(r"[\p{L}\p{M}�]+")
+_letter = regex.compile(r"[\p{L}\p{M}]")
 _letters = regex.compile(r"[\p{L}\p{M}]+")
 _plausible = regex.compile(r"[\p{Latin}\p{Arabic}\p{Devanagari}\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Cyrillic}\p{Greek}\p{Hebrew} -¿×÷‐-›₠-₿™←-⇿∀-⋿─-╿■-➿　-〿＀-￯\U0001f300-\U0001faff।॥،؛؟]")
 _odd = regex.compile(r"[\u0080-\u009fƀ-ɏɐ-ʯ￰-￿]")
@@ -93,10 +100,15 @@ def _written(text: str, page: str) -> bytes | None:
 
 def _bytes(text: str, page: str) -> list[int] | None:
     """The bytes of the text; -1 for a lost one."""
-    parts = [_written(t, page) for t in text.split(LOST)]
-    if any(t is None for t in parts):
-        return None
-    return functools.reduce(lambda a, b: [*a, -1, *b], map(list, parts))
+    out: list[int] = []
+    for k, part in enumerate(text.split(LOST)):
+        raw = _written(part, page)
+        if raw is None:
+            return None
+        if k:
+            out.append(-1)
+        out += raw
+    return out
 
 
 def _lattice(data: list[int]) -> list[str | tuple[int, ...]] | None:
@@ -247,26 +259,31 @@ def _places(parts: list) -> int:
 
 
 class Channel:
-    """words: frequency of words (lower case) beyond ASCII over the whole corpus; single Han characters are words."""
+    """words: frequency of words (lower case) beyond ASCII, single Han characters too. letters: how often a letter follows another in all words of the corpus (with a space before and behind each), and total: their number; by default those of words."""
 
-    def __init__(self, words: dict[str, int]):
+    def __init__(self, words: dict[str, int], letters: dict[tuple[str, str], int] | None = None, total: int | None = None):
         self.words = words
-        self.total = sum(words.values()) + 1
-        self.shapes: dict[str, list[tuple[int, str]]] = {}
+        self.total = (sum(words.values()) if total is None else total) + 1
+        self.shapes: dict[tuple, list[tuple[int, str]]] = {}
+        for n, w in sorted(((n, w) for w, n in words.items()), reverse=True):
+            k = shape(w)
+            for key in ((k, "", ""), (k, w[0], ""), (k, "", w[-1]), (k, w[0], w[-1])):
+                self.shapes.setdefault(key, []).append((n, w))
+        if letters is None:
+            letters = {}
+            for w, n in words.items():
+                for p, c in zip(" " + w, w + " "):
+                    letters[p, c] = letters.get((p, c), 0) + n
         chars: dict[str, int] = {}
         pairs: dict[str, dict[str, int]] = {}
         after: dict[str, int] = {}
-        for w, n in words.items():
-            self.shapes.setdefault(shape(w), []).append((n, w))
-            for c in w:
-                if c > "\x7f":
-                    chars[c] = chars.get(c, 0) + n
-            for p, c in zip(" " + w, w + " ") if not _han.match(w) else ():
+        for (p, c), n in letters.items():
+            if c > "\x7f":
+                chars[c] = chars.get(c, 0) + n
+            if not _han.match(c) and not _han.match(p):
                 before = pairs.setdefault(c, {})
                 before[p] = before.get(p, 0) + n
                 after[p] = after.get(p, 0) + n
-        for v in self.shapes.values():
-            v.sort(reverse=True)
         self.chars, self.pairs, self.after = chars, pairs, after
         self.all_chars = sum(chars.values()) + 1
         self.each = {c: n for c, n in chars.items() if _han.match(c)} | {c: sum(v.values()) for c, v in pairs.items()}
@@ -335,7 +352,10 @@ class Channel:
     def known_word(self, word: list) -> tuple[str, float] | None:
         """The likeliest known word that fits a damaged one."""
         pattern, top = damaged(word), None
-        for n, w in self.shapes.get(shape(pattern), ()):
+        # words with the same sound ends
+        low = pattern.lower()
+        ends = ["" if _open.match(c) or not c.islower() and not c.isalpha() else c for c in (low[0], low[-1])]
+        for n, w in self.shapes.get((shape(pattern), *ends), ()):
             s = math.log(n / self.total)
             if top and s <= top[1]:
                 break
@@ -441,7 +461,13 @@ class Channel:
             s = self.score(got) - 12 * unfilled - 3 * sum(bool(_odd.match(c)) for c in wide)
             if tried is None or s > tried[2]:
                 tried = (got, unfilled, s)
-        return tried and tried[:2]
+        # the channels' odds: a passage is sound unless a decoded reading is so much likelier than the passage as it stands
+        return tried[:2] if tried and tried[2] + GARBLED > self.score(text) + self.signs(text, tried[0]) else None
+
+    def signs(self, text: str, got: str) -> float:
+        """Log frequency of the passage's characters beyond ASCII that are no letters, less that of the decoded reading's: misread bytes leave many signs that texts rarely hold."""
+        n = lambda t: sum(c > "\x7f" and c != LOST and not _letter.match(c) for c in t)
+        return SIGN * (n(text) - n(got))
 
     def _legacy(self, text: str) -> tuple[str, int] | None:
         """Text of a legacy page that was read as Latin-1: whole words are of letters that a sound text rarely has beside each other."""
@@ -498,14 +524,18 @@ class Channel:
             line = m[0]
             if line.isascii():
                 continue
-            got = self.passage(line, pages, legacy)
+            lost, high = LOST in line, legacy and bool(_high.search(line))
+            here = pages if lost else [p for p in pages if (_han if p == "gb18030" else _table(p)[1]).search(line)]
+            if not here and not high and not lost:
+                continue
+            got = self.passage(line, here, high)
             if got is None:
                 parts = _sentences.split(line)
                 if len(parts) > 1:
                     new, cursor = [], 0
                     for p in parts:
                         start = line.index(p, cursor)
-                        r = self.passage(p, pages, legacy)
+                        r = self.passage(p, here, high)
                         new.append(line[cursor:start] + (r[0] if r else p))
                         cursor = start + len(p)
                         if r:
@@ -523,28 +553,39 @@ class Channel:
         return "".join(out) + text[at:], n, bad
 
 
+_garbled = regex.compile("|".join(_table(p)[1].pattern for p in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251")))
+_unlikely = regex.compile(r"[À-ÿ]{3}|[ʰ-˿]")
+
+
+def _sound(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words that aren't themselves garbled."""
+    for b in it:
+        yield b.filter(pa.array([not _garbled.search(w) and not _odd.search(w) and not _unlikely.search(w) for w in b.column(0).to_pylist()], pa.bool_()))
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n): words beyond ASCII of at least SHARE of all such words, over all documents; Han characters singly. At most 1 / SHARE rows."""
+    """(word, n): all words beyond ASCII that aren't garbled, over all documents; Han characters singly."""
     words = docs.where(F.col(text_col).rlike(r"[^\x00-\x7f]")).select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{IsHan}|[\p{L}\p{M}&&[^\p{IsHan}]]*[\p{L}\p{M}&&[^\x00-\x7f]&&[^\p{IsHan}]][\p{L}\p{M}&&[^\p{IsHan}]]*"), F.lit(0))).alias("word"))
-    n = words.groupBy("word").agg(F.count("*").alias("n"))
-    total = n.agg((F.sum("n") * SHARE).alias("least"))
-    return n.crossJoin(F.broadcast(total)).where("n >= least").select("word", "n")
+    return words.groupBy("word").agg(F.count("*").alias("n")).mapInArrow(_sound, "word string, n bigint")
 
 
-def _channel(docs: DataFrame) -> Channel:
-    """The frequencies, without words that are themselves garbled."""
-    rows = {r["word"]: r["n"] for r in word_counts(docs).collect()}  # bounded by 1 / SHARE
-    garbled = regex.compile("|".join(_table(p)[1].pattern for p in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251")))
-    return Channel({w: n for w, n in rows.items() if not garbled.search(w) and not _odd.search(w) and not regex.search(r"[À-ÿ]{3}", w)})
+def _channel(docs: DataFrame) -> tuple[dict[str, int], dict[tuple[str, str], int], int]:
+    """The WORDS most frequent words, the pairs of letters of all words, and how many words were counted. Words beyond WORDS are read by their pairs of letters."""
+    n = cut(word_counts(docs))
+    top = {r["word"]: r["n"] for r in n.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(WORDS).collect()}  # bounded by WORDS
+    marked = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    each = n.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(marked, i, F.lit(2)))).alias("pair"))
+    pairs = each.groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(PAIRS).collect()  # bounded by PAIRS
+    return top, {(r["pair"][0], r["pair"][1]): r["n"] for r in pairs if len(r["pair"]) == 2}, n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def restored(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_passages, n_open): each garbled document with the restored text; n_open places could not be filled and hold U+FFFD."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_channel(docs).words)
+    shared = spark.sparkContext.broadcast(_channel(docs))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Channel(shared.value)
+        c = Channel(*shared.value)
         for batch in it:
             found = [(i, *c.text(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             found = [x for x in found if x[2]]
