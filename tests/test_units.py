@@ -362,8 +362,8 @@ def test_all_measures_are_in_one_row(spark):
 def test_top_up_changes_copies_and_keeps_originals(spark):
     rows = [(1, "The house is big.", "a", "s", None), (2, "", "b", "s", 0.5), (3, None, "b", "s", 1.0), (4, "A new road.", "b", "s", 1.0), (5, "x", None, "s", 1.0)]
     d = spark.createDataFrame(rows, "id bigint, text string, label string, source string, confidence double")
-    got = sampling.topped_up(d, "id", target=4).collect()
-    assert sum(r.label == "a" for r in got) == 4 and sum(r.label == "b" for r in got) == 4
+    got = sampling.topped_up(d, "id", target=30).collect()
+    assert sum(r.label == "a" for r in got) == 30 and sum(r.label == "b" for r in got) == 30
     assert {(r.id, r.text) for r in got if r.copy_no == 0} == {(i, t) for i, t, l, _, _ in rows if l}
     for r in got:
         if r.copy_no:
