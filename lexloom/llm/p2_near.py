@@ -8,7 +8,7 @@ all pairs within distance 15 meet in some entry, and most of those farther off t
 is missed with odds of 0.1 %, at 0.85 with 0.004 %. Pairs that meet are compared by size, then by the whole signature, then exactly.
 
 Equal normal forms are collapsed first, so copies meet no one; classes are joined with their members at the end. Entries are
-packed on the map side, many to a row, and dealt by key to buckets of bounded size.
+packed on the map side, many to a row, and dealt by key to buckets of bounded size; a key of very many entries is split into lots that meet in many tasks.
 
 Null texts and texts of fewer than 20 characters in normal form are in no pair; rows with the same id count once.
 """
@@ -30,6 +30,8 @@ SIMILARITY = 0.8
 FAR = 28
 #: Entries of a bucket, texts packed at once, and pairs handed on at once.
 BUCKET, TEXTS, PAIRS = 2_000_000, 40_000, 500_000
+#: Entries of one key from which it is split, of a lot that is met at once, and tasks that a hot key is spread over at least.
+HOT, LOT, SALT = 4000, 2000, 16
 K = PARTS * WIDTH
 _factors = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
@@ -95,15 +97,13 @@ def _packer(bits: int):
             who = np.repeat(np.arange(len(ids)), K)
             bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
             by = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[by], np.arange((1 << bits) + 1))
-            where, blobs = [], []
-            for b in range(1 << bits):
-                x = by[edge[b] : edge[b + 1]]
-                if len(x):
-                    i = ids[who[x]]
-                    raw = (key[x] >> np.uint64(20)).astype(np.uint32).tobytes() + np.diff(i, prepend=0).astype(np.int64).tobytes() + size[who[x]].tobytes()
-                    where.append(b)
-                    blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
+            where, edge = np.unique(bucket[by], return_index=True)  # those that hold an entry
+            blobs = []
+            for a, b in zip(edge, [*edge[1:], len(by)]):
+                x = by[a:b]
+                i = ids[who[x]]
+                raw = (key[x] >> np.uint64(20)).astype(np.uint32).tobytes() + np.diff(i, prepend=0).astype(np.int64).tobytes() + size[who[x]].tobytes()
+                blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
@@ -134,30 +134,82 @@ def _meet(key: np.ndarray, ids: np.ndarray, size: np.ndarray) -> Iterator[tuple[
         yield p[:, 0], p[:, 1]
 
 
-def _match(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a bucket follow one another."""
+_MET = "a bigint, b bigint, lo int, hi int, run binary"
 
-    def close(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        keys, ids, sizes = [], [], []
-        for b in blobs:
-            raw = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
-            n = len(raw) // 14
-            keys.append(np.frombuffer(raw, np.uint32, n))
-            ids.append(np.cumsum(np.frombuffer(raw, np.int64, n, 4 * n)))
-            sizes.append(np.frombuffer(raw, np.uint16, n, 12 * n))
-        for a, b in _meet(np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    now, blobs = None, []
+def _hot(bucket: int, key: np.ndarray, ids: np.ndarray, size: np.ndarray, most: int = HOT, per: int = LOT) -> tuple[np.ndarray, list[tuple]]:
+    """Which entries have a key of more than `most` entries, and those entries in lots of `per` by size: (key, number of the lot, smallest and largest size, ids and sizes)."""
+    _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+    hot = n[which] > most
+    lots = []
+    for k in np.unique(which[hot]):
+        x = np.flatnonzero(which == k)
+        x = x[np.argsort(size[x], kind="stable")]
+        for j, s in enumerate(range(0, len(x), per)):
+            y = x[s : s + per]
+            lots.append(((bucket << 32) | int(key[y[0]]), j, int(size[y[0]]), int(size[y[-1]]), ids[y].astype(np.int64).tobytes() + size[y].astype(np.uint16).tobytes()))
+    return hot, lots
+
+
+def _lots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two lots of one key whose sizes allow the similarity; of a lot with itself, each once."""
     for batch in it:
-        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if b != now and blobs:
-                yield from close(blobs)
-                blobs = []
-            now = b
-            blobs.append(blob)
-    if blobs:
-        yield from close(blobs)
+        for j, k, x, y in zip(*(batch.column(c).to_pylist() for c in ("j", "k", "x", "y"))):
+            parts = []
+            for raw in (x, y):
+                n = len(raw) // 10
+                parts.append((np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint16, n, 8 * n).astype(np.int64)))
+            (xi, xs), (yi, ys) = parts
+            fits = (np.minimum(xs[:, None], ys) >= SIMILARITY * np.maximum(xs[:, None], ys) - 1e-9) & (xi[:, None] != yi)
+            p, q = np.nonzero(np.triu(fits, 1) if j == k else fits)
+            for s in range(0, len(p), PAIRS):
+                a, b = xi[p[s : s + PAIRS]], yi[q[s : s + PAIRS]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _split(met: DataFrame) -> DataFrame:
+    """The pairs of hot keys: their lots meet by Spark, one side salted and the other sent to each salt, so that no task holds a key."""
+    lots = met.where("run is not null")
+    left = lots.select(F.col("a").alias("key"), F.col("b").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"), F.col("run").alias("x"), F.pmod("b", F.lit(SALT)).alias("salt"))
+    right = lots.select(F.col("a").alias("key"), F.col("b").alias("k"), F.col("lo").alias("lo_k"), F.col("run").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("salt"))
+    both = left.join(right, ["key", "salt"]).where(f"j <= k and hi_j >= {SIMILARITY} * lo_k - 1e-9")  # lots follow each other by size
+    return both.select("j", "k", "x", "y").repartition("j", "k", "x").mapInArrow(_lots, "a bigint, b bigint")
+
+
+def _matcher(most: int, per: int):
+    """Pairs of the buckets' keys. Rows of a bucket follow one another; keys of more than `most` entries are handed on as lots."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("run", pa.binary())])
+
+        def close(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            keys, ids, sizes = [], [], []
+            for b in blobs:
+                raw = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+                n = len(raw) // 14
+                keys.append(np.frombuffer(raw, np.uint32, n))
+                ids.append(np.cumsum(np.frombuffer(raw, np.int64, n, 4 * n)))
+                sizes.append(np.frombuffer(raw, np.uint16, n, 12 * n))
+            key, i, size = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
+            hot, lots = _hot(bucket, key, i, size, most, per)
+            for lot in lots:
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(lot, schema)], schema=schema)
+            for a, b in _meet(key[~hot], i[~hot], size[~hot]):
+                none = pa.nulls(len(a), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, pa.nulls(len(a), pa.binary())], schema=schema)
+
+        now, blobs = None, []
+        for batch in it:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b != now and blobs:
+                    yield from close(now, blobs)
+                    blobs = []
+                now = b
+                blobs.append(blob)
+        if blobs:
+            yield from close(now, blobs)
+
+    return run
 
 
 def _near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +245,12 @@ def linked(keys: DataFrame, samples: DataFrame, id_col: str = "sample_id", text_
     bits = max(0, int(np.ceil(np.log2(max(1, n * K) / BUCKET))))
     packed = reps.mapInArrow(_packer(bits), "bucket int, blob binary")
     tasks = max(1, min(1 << bits, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    met = packed.repartition(max(tasks, min(1 << bits, spark.sparkContext.defaultParallelism)), "bucket").sortWithinPartitions("bucket").mapInArrow(_match, "a bigint, b bigint").distinct()
+    met = packed.repartition(max(tasks, min(1 << bits, spark.sparkContext.defaultParallelism)), "bucket").sortWithinPartitions("bucket").mapInArrow(_matcher(HOT, LOT), _MET)
+    met = cut(met)
+    pairs = met.where("run is null").select("a", "b")
+    if not met.where("run is not null").isEmpty():
+        pairs = pairs.unionAll(_split(met))
+    met = pairs.distinct()
     sig = reps.select("id", "sig")
     met = met.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     near = cut(met.mapInArrow(_near, "a bigint, b bigint"))

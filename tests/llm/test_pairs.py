@@ -105,6 +105,22 @@ def test_near_pairs_equal_brute_force(table):
     assert len(want - got) <= 0.01 * len(want) and len(want) > 50
 
 
+def test_hot_keys_are_split(table, monkeypatch):
+    _, df = table
+    whole = {tuple(r) for r in p2_near.found(df).collect()}
+    r = np.random.default_rng(5)
+    key, ids, size = r.integers(0, 3, 60).astype(np.uint32), np.arange(60) * 7, r.integers(50, 90, 60).astype(np.uint16)
+    monkeypatch.setattr(p2_near, "HOT", 1)
+    monkeypatch.setattr(p2_near, "LOT", 4)
+    hot, lots = p2_near._hot(1, key, ids, size, 1, 4)
+    assert hot.all() and sum(len(x[4]) // 10 for x in lots) == 60 and max(len(x[4]) // 10 for x in lots) == 4
+    split = df.sparkSession.createDataFrame([(a, b, lo, hi, bytearray(x)) for a, b, lo, hi, x in lots], p2_near._MET)
+    want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(60) for j in range(i) if key[i] == key[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) - 1e-9}
+    got = [tuple(x) for x in p2_near._split(split).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {tuple(x) for x in p2_near.found(df).collect()} == whole
+
+
 def test_all_pairs_within_the_signature_distance_meet():
     r = np.random.default_rng(3)
     a = r.integers(0, 256, (400, p2_near.K)).astype(np.uint8)
