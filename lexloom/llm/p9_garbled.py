@@ -565,7 +565,7 @@ def _sound(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): all words beyond ASCII that aren't garbled, over all documents; Han characters singly."""
-    words = docs.where(F.col(text_col).rlike(r"[^\x00-\x7f]")).select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{IsHan}|[\p{L}\p{M}&&[^\p{IsHan}]]*[\p{L}\p{M}&&[^\x00-\x7f]&&[^\p{IsHan}]][\p{L}\p{M}&&[^\p{IsHan}]]*"), F.lit(0))).alias("word"))
+    words = docs.where(F.col(text_col).rlike(r"[^\x00-\x7f]")).select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{IsHan}|(?<![a-z])[a-z]*+[\p{L}\p{M}&&[^\x00-\x7f]&&[^\p{IsHan}]][\p{L}\p{M}&&[^\p{IsHan}]]*+"), F.lit(0))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).mapInArrow(_sound, "word string, n bigint")
 
 
