@@ -193,7 +193,7 @@ def scored(results: DataFrame) -> DataFrame:
         .otherwise(F.col("form"))
     )
     kind = F.when(F.col("json"), "json").when(F.col("listed"), "list").otherwise("prose")
-    r = r.select("call_id", "source", "len", form.alias("form"), kind.alias("kind"))
+    r = cut(r.select("call_id", "source", "len", form.alias("form"), kind.alias("kind")))  # read twice
     # one source's texts as counts: no more rows than forms times lengths
     post = r.groupBy("source", "kind", "form", "len").agg(F.count("*").alias("n")).groupBy("source").applyInPandas(_fit, "source string, kind string, form string, len bigint, p double")
     post = post.select(F.col("source").alias("s"), F.col("kind").alias("k"), F.col("form").alias("f"), F.col("len").alias("l"), "p")

@@ -6,7 +6,7 @@ A text's canonical form is its letters, marks and numbers in lower case; a recor
 
 Two forms with the same 128 bits but another check or length are different records: they never merge, and
 `report` counts them. Null texts, and texts without letters, marks and numbers, are in no set. Of equal rows each
-counts as a copy; ties on sample_id (repeated rows) are one record. Columns other than the id, the text and the group column are never read.
+counts as a copy; a JSON object that is nested deeper than the parser goes (about a thousand levels) is compared as plain text; ties on sample_id (repeated rows) are one record. Columns other than the id, the text and the group column are never read.
 """
 
 from __future__ import annotations
