@@ -75,7 +75,7 @@ def limited(calls: DataFrame, api: str, ts: str, tie: str, seconds: int = 60, li
     """calls with allowed: fewer than `limit` allowed calls of the api in the last `seconds`; denied calls do not count.
 
     The rule runs from call to call, but a pause of `seconds` clears it: each api's calls are split at such pauses, and the pieces are
-    worked through by themselves. A piece must fit into a task; one api without a pause is one piece. Calls without a time are left out.
+    worked through by themselves, in order, by a function that holds no more than the last `limit` allowed calls. One api without a pause is one piece: one task streams it. Calls without a time are left out.
     """
     us = seconds * 1_000_000
     d = _near_before(calls, api, ts, us)
@@ -88,21 +88,28 @@ def limited(calls: DataFrame, api: str, ts: str, tie: str, seconds: int = 60, li
     d = d.withColumn("_in", inside).join(below, [api, "_b"]).withColumn("_piece", F.col("_in") + F.col("_below")).select(*calls.columns, "_us", "_piece")
     schema = calls.schema.add("allowed", "boolean")
 
-    def run(pdf):
-        pdf = pdf.sort_values([ts, tie], kind="stable")
+    def run(parts):
         from collections import deque
 
-        log, out = deque(), []
-        for t in pdf["_us"].tolist():
-            while log and log[0] <= t - us:
-                log.popleft()
-            ok = len(log) < limit
-            if ok:
-                log.append(t)
-            out.append(ok)
-        return pdf.drop(columns=["_us", "_piece"]).assign(allowed=out)
-
-    return d.groupBy(api, "_piece").applyInPandas(run, schema)
+        import pandas as pd
+
+        now, log = None, deque()
+        for pdf in parts:
+            out = []
+            for name, piece, t in zip(pdf[api], pdf["_piece"], pdf["_us"]):
+                at = (None if pd.isna(name) else name, piece)
+                if at != now:
+                    now = at
+                    log.clear()
+                while log and log[0] <= t - us:
+                    log.popleft()
+                ok = len(log) < limit
+                if ok:
+                    log.append(t)
+                out.append(ok)
+            yield pdf.drop(columns=["_us", "_piece"]).assign(allowed=out)
+
+    return d.repartition(api, "_piece").sortWithinPartitions(api, "_piece", "_us", tie).mapInPandas(run, schema)
 
 
 def _near_before(calls: DataFrame, api: str, ts: str, us: int) -> DataFrame:
