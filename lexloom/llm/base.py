@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.tables import cut, shared_dir  # noqa: F401
+
 #: Longest window of the similarity that the pair queries use, in code points, and the shortest normal form that may be in a pair.
 GRAM, SHORTEST = 5, 20
 
@@ -26,29 +26,6 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df if have >= spark.sparkContext.defaultParallelism else df.repartition(want, *by)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one in the working directory's /tmp only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lexloom-shared"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: later steps start from the files, which survive the loss of an executor. Removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-
-    def remove() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; the folder's owner clears it
-            pass
-
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def normal_form(text: Column) -> Column:
     """Lower case; each run of characters that are no letters, marks or numbers becomes one space; trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "))
