@@ -10,9 +10,9 @@ No pair is lost: of a text with D windows, a partner of similarity s holds all b
 windows it holds at least k. Each text's rarest windows (by the interval's size) are looked up, and partners with
 fewer hits than that are dropped. What is left is counted exactly over both sets of windows.
 
-Work is dealt by (task, shard, block of train rows). Where a task has more than one shard, a train text goes only to the shards that hold enough of its
-rarest windows, by the same count; rare is what a sketch of counts of fixed size tells, in which any error costs room, not pairs. Only numbers of windows, texts and shards are joined for that. Equal texts are
-matched once in each part; their pairs are spread by Spark. Rows with null id, task, split or text, or fewer than
+Work is dealt by (task, shard, block of train rows). Where a task has more than one shard, a train text goes only to the shards that hold a text which may be its partner.
+That is told by parities: of each of some hundred cells, whether an odd number of a text's distinct windows fall there. Texts that differ in d windows differ in d parities at most, and a partner's
+size and d are bounded, so no pair is lost; only parities travel for that. Equal texts are matched once in each part; their pairs are spread by Spark. Rows with null id, task, split or text, or fewer than
 20 characters in normal form are in no pair; repeated rows count once; splits of other names are ignored.
 """
 
@@ -29,8 +29,8 @@ from .base import GRAM, SHORTEST, batches, code_points, cut, distinct_sorted, gr
 
 #: Characters of a shard of evaluation texts, and of a block of train texts; characters and hits that are handled at once; characters of a span that are searched at a stretch.
 SHARD, BLOCK, BATCH, HITS, STRETCH = 3_000_000, 2_500_000, 800_000, 2_000_000, 400
-#: Cells of the sketch of window counts (one byte each is broadcast, whatever the size of the table).
-CELLS = 1 << 22
+#: Where a task has more than one shard: characters of its train and of its evaluation texts whose parities are compared at once; windows of the narrowest class of sizes; rows that are compared at a stretch.
+WIDE, LOT, NARROW, STRIP = 20_000_000, 200_000_000, 256, 1 << 16
 #: SPARE: windows that are looked up beyond those that a partner may lack.
 SIMILARITY, SPARE = 0.7, 24
 EVALUATION = ("val", "validation", "test")
@@ -328,63 +328,140 @@ def _group(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts hold a window of each cell, as one list for each task of Spark."""
-    count = np.zeros(CELLS, np.int64)
-    for t in batches(it, 2000):
-        count += np.bincount((distinct_sorted(*grams(t["n"].to_pylist()))[0] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-    at = np.flatnonzero(count)
-    for s in range(0, len(at), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 100_000], pa.int32()), pa.array(count[at[s : s + 100_000]])], ["cell", "n"])
+def _class(size: np.ndarray) -> np.ndarray:
+    """Class of a number of windows: up to NARROW, twice that, and so on."""
+    return np.ceil(np.log2(np.maximum(size, NARROW) / NARROW)).astype(np.int64)
 
 
-def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of all windows of the texts of a shard."""
-    for t in batches(it, 2000):
-        h, begin = distinct_sorted(*grams(t["n"].to_pylist()))
-        owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-        for s in range(0, len(h), 200_000):
-            at = pa.array(owner[s : s + 200_000])
-            yield pa.RecordBatch.from_arrays([t["task"].combine_chunks().take(at), pa.array(h[s : s + 200_000].astype(np.int64)), t["shard"].combine_chunks().take(at)], ["task", "w", "shard"])
+def _parities(h: np.ndarray, begin: np.ndarray, bits: int) -> np.ndarray:
+    """Of each text, for each of `bits` cells, whether an odd number of its distinct windows fall there; one row of 64-bit words a text."""
+    n = len(begin) - 1
+    out = np.zeros((n, bits // 64), np.uint64)
+    step = max(1, (1 << 22) // bits)
+    for s in range(0, n, step):
+        e = min(n, s + step)
+        owner = np.repeat(np.arange(e - s), np.diff(begin[s : e + 1]))
+        cell = owner * bits + (h[begin[s] : begin[e]] & np.uint64(bits - 1)).astype(np.int64)
+        out[s:e] = np.packbits((np.bincount(cell, minlength=(e - s) * bits) & 1).astype(np.uint8).reshape(e - s, bits), axis=1).view(np.uint64)
+    return out
 
 
-def _rare(level: bytes, similarity: float):
-    """Numbers of each text's rarest windows, and how many of them a partner holds at least. Windows that no evaluation text holds are among the rarest, but aren't handed on; a text of which too few are left has no partner."""
+def _sketches(similarity: float):
+    """The parities of each text's windows, twice as many as its class has windows at most. Texts of evaluation are handed to each class that a partner may be in."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = np.frombuffer(level, np.uint8)
         for t in batches(it, 2000):
             h, begin = distinct_sorted(*grams(t["n"].to_pylist()))
-            size = np.diff(begin)
-            owner = np.repeat(np.arange(len(size)), size)
-            rarity = of[(h & np.uint64(CELLS - 1)).astype(np.int64)]
-            order = np.lexsort((h, rarity, owner))
-            miss = size - np.ceil(similarity * size - 1e-9).astype(np.int64)
-            taken = np.minimum(size, miss + 1 + SPARE)
-            need = taken - miss
-            keep = order[(np.arange(len(h)) - begin[owner] < taken[owner]) & (rarity[order] > 0)]
-            keep = keep[np.bincount(owner[keep], minlength=len(size))[owner[keep]] >= need[owner[keep]]]
-            for s in range(0, len(keep), 200_000):
-                some = keep[s : s + 200_000]
-                at = pa.array(owner[some])
-                yield pa.RecordBatch.from_arrays([t["task"].combine_chunks().take(at), pa.array(h[some].astype(np.int64)), t["id"].combine_chunks().take(at), pa.array(need[owner[some]].astype(np.int32))], ["task", "w", "id", "need"])
+            size, ev = np.diff(begin), t["ev"].to_numpy()
+            low = np.where(ev == 1, _class(np.ceil(similarity * size - 1e-9)), _class(size))
+            high = np.where(ev == 1, _class(np.floor(size / similarity + 1e-9)), low)
+            for k in range(int(low.min()), int(high.max()) + 1):
+                some = np.flatnonzero((low <= k) & (k <= high))
+                if not len(some):
+                    continue
+                count = size[some]
+                at = np.concatenate([[0], np.cumsum(count)])
+                words = _parities(h[np.arange(at[-1]) + np.repeat(begin[some] - at[:-1], count)], at, 2 * NARROW << k)
+                width = words.shape[1] * 8
+                sketch = pa.Array.from_buffers(pa.binary(width), len(some), [None, pa.py_buffer(words)]).cast(pa.binary())
+                part = t.select(["task", "ev", "lot", "block", "id", "h", "shard"]).take(pa.array(some)).combine_chunks()
+                yield from part.append_column("class", pa.array(np.full(len(some), k), pa.int32())).append_column("size", pa.array(count, pa.int32())).append_column("sketch", sketch).to_batches(max_chunksize=max(1, (1 << 23) // width))
 
     return run
 
 
+def _alike(train: np.ndarray, n_train: np.ndarray, evaluation: np.ndarray, n_evaluation: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose parities allow the similarity: two sets that differ in d windows differ in d parities at most. Every pair that reaches it is among them."""
+    # by size, so that the sizes which a partner may have are a stretch of rows
+    order = np.argsort(n_evaluation, kind="stable")
+    evaluation, n_evaluation = evaluation[order], n_evaluation[order].astype(np.int64)
+    half = train.shape[1] // 2
+    # the same parities over half as many cells are looked at first
+    narrow = np.ascontiguousarray((evaluation[:, :half] ^ evaluation[:, half:]).T)
+    folded = train[:, :half] ^ train[:, half:]
+    first = np.searchsorted(n_evaluation, np.ceil(similarity * n_train - 1e-9))
+    last = np.searchsorted(n_evaluation, np.floor(n_train / similarity + 1e-9), "right")
+    words, counts, sums = (np.empty(min(STRIP, len(order)), t) for t in (np.uint64, np.uint8, np.uint16))
+    out_t, out_e, known, limit = [], [], -1, None
+    for i in np.argsort(n_train, kind="stable"):
+        lo, hi = first[i], last[i]
+        if hi <= lo:
+            continue
+        if n_train[i] != known:
+            known = n_train[i]
+            both = n_evaluation[lo:hi] + known
+            limit = both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-6).astype(np.int64)
+            limit = np.minimum(limit, 65_535).astype(np.uint16)
+        x, y = folded[i], train[i]
+        for s in range(lo, hi, STRIP):
+            e = min(hi, s + STRIP)
+            word, count, differ = words[: e - s], counts[: e - s], sums[: e - s]
+            differ[:] = 0
+            for w in range(half):
+                np.bitwise_xor(narrow[w, s:e], x[w], out=word)
+                np.bitwise_count(word, out=count)
+                np.add(differ, count, out=differ)
+            j = np.flatnonzero(differ <= limit[s - lo : e - lo])
+            if len(j):
+                j = j[np.bitwise_count(evaluation[s + j] ^ y).sum(1, dtype=np.int64) <= limit[s - lo + j]]
+                out_t.append(np.full(len(j), i))
+                out_e.append(order[s + j])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(out_t), np.concatenate(out_e)) if out_t else (none, none)
+
+
+def _once(h: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of equal texts, and of each row which of these is its own; rows stay apart if a hash is shared by different sketches."""
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    return (first, which) if (sketch == sketch[first][which]).all() else (np.arange(len(h)), np.arange(len(h)))
+
+
+def _shards(table: pa.Table, similarity: float) -> pa.Table:
+    """(task, id, shard): the shards that hold a text which may be a partner of a train row."""
+    schema = pa.schema([("task", pa.int64()), ("id", pa.int64()), ("shard", pa.int32())])
+    side = table["ev"].to_numpy()
+    rows, sketch, size, first, which = [], [], [], [], []
+    for e in (0, 1):
+        at = np.flatnonzero(side == e)
+        if not len(at):
+            return schema.empty_table()
+        part = table.take(pa.array(at))
+        words = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint64).reshape(len(at), -1)
+        f, w = _once(part["h"].to_numpy(), words)
+        rows.append(part)
+        sketch.append(words[f])
+        size.append(part["size"].to_numpy()[f].astype(np.int64))
+        first.append(f)
+        which.append(w)
+    i, j = _alike(sketch[0], size[0], sketch[1], size[1], similarity)
+    if not len(i):
+        return schema.empty_table()
+    # texts to the shards of their copies, then pairs to (train text, shard)
+    shard = rows[1]["shard"].to_numpy().astype(np.int64)
+    n = int(shard.max()) + 1
+    held = np.unique(which[1] * n + shard)
+    begin, end = np.searchsorted(held, j * n), np.searchsorted(held, (j + 1) * n)
+    c = end - begin
+    goes = np.unique(np.repeat(i, c) * n + held[np.arange(c.sum()) + np.repeat(begin - _below(c), c)] % n)
+    # and to the rows with the train text
+    by = np.argsort(which[0], kind="stable")
+    own = which[0][by]
+    begin, end = np.searchsorted(own, goes // n), np.searchsorted(own, goes // n, "right")
+    c = end - begin
+    at = by[np.arange(c.sum()) + np.repeat(begin - _below(c), c)]
+    return pa.Table.from_arrays([pa.array(np.full(len(at), table["task"][0].as_py()), pa.int64()), rows[0]["id"].combine_chunks().take(pa.array(at)), pa.array(np.repeat(goes % n, c), pa.int32())], schema=schema)
+
+
 def _routed(rows: DataFrame, similarity: float) -> DataFrame:
-    """(task, id, shard) of train rows: the shards that hold as many of their rarest windows as a partner must. rows: those of tasks with more than one shard."""
-    spark = rows.sparkSession
-    evaluation, train = rows.where("ev = 1"), rows.where("ev = 0")
-    counts = evaluation.select("n").mapInArrow(_cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).select("cell", F.least(F.lit(255), F.floor(F.log2("n") * 4) + 1).cast("short").alias("level"))
-    got = counts.toArrow()  # at most CELLS rows
-    level = np.zeros(CELLS, np.uint8)
-    level[got["cell"].to_numpy()] = got["level"].to_numpy()
-    shared = spark.sparkContext.broadcast(level.tobytes())
-    run = lambda it: _rare(shared.value, similarity)(it)
-    holds = evaluation.select("task", "shard", "n").mapInArrow(_windows, "task bigint, w bigint, shard int").distinct()
-    asks = train.select("task", "id", "n").mapInArrow(run, "task bigint, w bigint, id bigint, need int")
-    return asks.join(holds, ["task", "w"]).groupBy("task", "id", "shard").agg(F.count("*").alias("k"), F.min("need").alias("need")).where("k >= need").select("task", "id", "shard")
+    """(task, id, shard) of train rows: the shards that hold a text whose parities allow the similarity. rows: those of tasks with more than one shard."""
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = lambda n: F.pmod("h", F.col(n)).cast("int")
+    # few large parts: only parities travel. Each block of train texts meets each lot of evaluation texts
+    d = rows.withColumn("h", F.xxhash64("n")).withColumn("lot", F.when(F.col("ev") == 1, F.array(mine("lots"))).otherwise(every("lots"))).withColumn("block", F.when(F.col("ev") == 0, F.array(mine("wide"))).otherwise(every("wide")))
+    names = "task bigint, ev int, lot array<int>, block array<int>, id bigint, h bigint, shard int, class int, size int, sketch binary"
+    d = d.select("task", "ev", "lot", "block", "id", "h", "shard", "n").mapInArrow(_sketches(similarity), names)
+    d = d.withColumn("lot", F.explode("lot")).withColumn("block", F.explode("block"))
+    return d.groupBy("task", "class", "lot", "block").applyInArrow(lambda t: _shards(t, similarity), "task bigint, id bigint, shard int").distinct()
 
 
 def matched(samples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -394,7 +471,7 @@ def matched(samples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     side = samples.where("sample_id is not null and split is not null and text is not null and task_id is not null").select(F.col("sample_id").alias("id"), F.col("task_id").alias("task"), split.isin(*EVALUATION).cast("int").alias("ev"), split.alias("s"), "text").where("ev = 1 or s = 'train'")
     # characters as they are: no fewer than those of the normal form
     size = side.groupBy("task").agg(F.sum(F.when(F.col("ev") == 1, F.length("text"))).alias("e"), F.sum(F.when(F.col("ev") == 0, F.length("text"))).alias("t")).where("e > 0 and t > 0")
-    size = cut(size.select("task", F.ceil(F.col("e") / SHARD).cast("int").alias("shards"), F.ceil(F.col("t") / BLOCK).cast("int").alias("blocks")))
+    size = cut(size.select("task", F.ceil(F.col("e") / SHARD).cast("int").alias("shards"), F.ceil(F.col("t") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("t") / WIDE).cast("int").alias("wide"), F.ceil(F.col("e") / LOT).cast("int").alias("lots")))
     rows = side.select("id", "task", "ev", normal_form(F.col("text")).alias("n")).where(f"length(n) >= {SHORTEST}")
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -408,7 +485,7 @@ def matched(samples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     large = size.where("shards > 1")
     if not large.isEmpty():
         big = cut(rows.join(large, "task").withColumn("shard", F.when(F.col("ev") == 1, mine("shards"))).drop("blocks", "shards"))
-        sent = cut(big.where("ev = 0").drop("shard").join(_routed(big, similarity), ["task", "id"]).select("id", "task", "ev", "n", "shard"))
+        sent = cut(big.where("ev = 0").drop("shard", "wide", "lots").join(_routed(big, similarity), ["task", "id"]).select("id", "task", "ev", "n", "shard"))
         blocks = sent.groupBy("task", "shard").agg(F.ceil(F.sum(F.length("n")) / BLOCK).cast("int").alias("blocks"))
         parts = parts.unionByName(dealt(sent.unionByName(big.where("ev = 1").select("id", "task", "ev", "n", "shard")).join(blocks, ["task", "shard"])))
     return parts.groupBy("task", "shard", "block").applyInArrow(lambda t: _group(t), _PAIRS)

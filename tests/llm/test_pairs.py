@@ -72,6 +72,32 @@ def test_overlaps_in_many_parts(table, monkeypatch):
     assert {tuple(r) for r in p1_overlap.found(df).collect()} == whole
 
 
+def test_train_texts_go_only_where_a_partner_may_be(spark):
+    """Texts of one small vocabulary share most windows with every shard, but few of them have a partner."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(200)]
+    text = lambda: " ".join(r.choice(words) for _ in range(40))
+    rows = [(i, 1, 1, text(), i % 8) for i in range(400)]
+    rows += [(1000 + i, 1, 0, text(), None) for i in range(300)] + [(2000 + i, 1, 0, rows[i][3][:-3], None) for i in range(40)] + [(3000, 1, 0, rows[7][3], None), (3001, 1, 0, rows[7][3], None)]
+    d = spark.createDataFrame([(*x, 3, 2) for x in rows], "id bigint, task bigint, ev int, n string, shard int, wide int, lots int").repartition(4)
+    got = {tuple(x) for x in p1_overlap._routed(d, p1_overlap.SIMILARITY).select("id", "shard").collect()}
+    want = {(2000 + i, i % 8) for i in range(40)} | {(3000, 7), (3001, 7)}
+    assert want <= got and len(got) < len(want) + 20
+
+
+def test_parities_lose_no_pair():
+    r = random.Random(6)
+    base = [" ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(r.choice([4, 40, 45, 90, 180, 700]))) for _ in range(60)]
+    change = lambda t: "".join(r.choice("abcdef") if r.random() < 0.03 else c for c in t)
+    train, evaluation = base, [change(t)[: int(len(t) * r.uniform(0.72, 1))] for t in base] + [t + t[:50][::-1] for t in base]
+    (th, tb), (eh, eb) = distinct_sorted(*grams(train)), distinct_sorted(*grams(evaluation))
+    pair = lambda bits: set(zip(*(x.tolist() for x in p1_overlap._alike(p1_overlap._parities(th, tb, bits), np.diff(tb), p1_overlap._parities(eh, eb, bits), np.diff(eb), 0.7))))
+    want = {(i, j) for i, a in enumerate(train) for j, b in enumerate(evaluation) if similarity(a, b) >= 0.7 - 1e-9}
+    assert len(want) > 60
+    for bits in (128, 512, 8192):
+        assert want <= pair(bits)
+
+
 def test_index_counts_windows():
     index = p1_overlap.RunIndex(["banana bandana", "anana"])
     s = lambda w: np.array([[np.searchsorted(index.alphabet, ord(c)) + 1 for c in w]])
