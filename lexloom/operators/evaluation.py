@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import once
+from lexloom.operators import soft
 from lexloom.operators.selection import top_k
 
 
@@ -188,26 +189,45 @@ def metric_line(s: DataFrame) -> DataFrame:
     return s.select(F.format_string("accuracy=%.4f, f1_macro=%.4f, f1_weighted=%.4f", "accuracy", "f1_macro", "f1_weighted").alias("line"))
 
 
+def word_stages(text: str = "text", features: int = 1 << 14) -> list:
+    """The stages that turn a text to its words' counts by hash, as column `features`."""
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    return [RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[\p{L}\p{N}_]+", gaps=False), HashingTF(inputCol="words", outputCol="features", numFeatures=features)]
+
+
+def with_words(rows: DataFrame, text: str = "text", features: int = 1 << 14) -> DataFrame:
+    """rows that have a text, with their column `features`."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel(word_stages(text, features)).transform(rows.where(f"{text} is not null")).drop("words")
+
+
+def student(rows: DataFrame, teacher: str, label_id: str, alpha: float = 0.7):
+    """train_student for rows that have `features`: the logistic regression alone."""
+    target = F.transform(teacher, lambda p, y: alpha * p + (1 - alpha) * (y == F.col(label_id)).cast("double"))
+    return soft.fit(rows.where(f"{label_id} is not null").select("features", target.alias("target")), "target")
+
+
+def naive_bayes(rows: DataFrame, label_id: str):
+    """train_hard for rows that have `features`: the naive Bayes model alone."""
+    from pyspark.ml.classification import NaiveBayes
+
+    return NaiveBayes(featuresCol="features", labelCol="target").fit(rows.where(f"{label_id} is not null").select("features", F.col(label_id).cast("double").alias("target")))
+
+
 def train_student(rows: DataFrame, teacher: str, label_id: str, text: str = "text", alpha: float = 0.7, features: int = 1 << 14):
     """A logistic regression on hashed words that follows the teacher's probabilities (an array) with weight alpha and the label with 1 - alpha. Returns a pipeline model; a table without rows is an error."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, RegexTokenizer
+    from pyspark.ml import PipelineModel
 
-    d = rows.where(f"{text} is not null").select(text, F.posexplode(teacher).alias("y", "p"), F.col(label_id).alias("_y"))
-    d = d.select(text, F.col("y").cast("double").alias("target"), (alpha * F.col("p") + (1 - alpha) * (F.col("y") == F.col("_y")).cast("double")).alias("weight")).where("weight > 0")
-    stages = [RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[\p{L}\p{N}_]+", gaps=False), HashingTF(inputCol="words", outputCol="features", numFeatures=features), LogisticRegression(featuresCol="features", labelCol="target", weightCol="weight", maxIter=20, regParam=0.001)]
-    return Pipeline(stages=stages).fit(d)
+    return PipelineModel([*word_stages(text, features), student(with_words(rows, text, features), teacher, label_id, alpha)])
 
 
 def train_hard(rows: DataFrame, label_id: str, text: str = "text", features: int = 1 << 14):
     """The same student on labels alone."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import HashingTF, RegexTokenizer
+    from pyspark.ml import PipelineModel
 
-    d = rows.where(f"{text} is not null and {label_id} is not null").select(text, F.col(label_id).cast("double").alias("target"))
-    return Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[\p{L}\p{N}_]+", gaps=False), HashingTF(inputCol="words", outputCol="features", numFeatures=features), NaiveBayes(featuresCol="features", labelCol="target")]).fit(d)
+    return PipelineModel([*word_stages(text, features), naive_bayes(with_words(rows, text, features), label_id)])
 
 
 def infer(rows: DataFrame, predict, id_col: str, text: str = "text", batch: int = 1000) -> DataFrame:

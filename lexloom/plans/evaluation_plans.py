@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from lexloom.functions.tables import cut
 from lexloom.operators import evaluation as E
 from lexloom.operators import sampling
 
@@ -59,10 +60,10 @@ def _labelled(s, d):
 
 def _student(s, d):
     """A student of all labels; its teacher is the naive Bayes model on the hard labels. Rows without a label are predicted, not trained on."""
-    rows = _labelled(s, d)
-    soft = E.train_hard(rows, "label_id").transform(rows.where("label_id is not null")).select("text", "label_id", vector_to_array("probability").alias("teacher"))
-    model = E.train_student(soft, "teacher", "label_id")
-    return model.transform(rows).select("sample_id", F.col("label_id"), F.col("prediction").cast("bigint").alias("predicted"))
+    rows = cut(E.with_words(_labelled(s, d)).select("sample_id", "label_id", "features"))
+    known = E.naive_bayes(rows, "label_id").transform(rows.where("label_id is not null")).select("features", "label_id", vector_to_array("probability").alias("teacher"))
+    model = E.student(known, "teacher", "label_id")
+    return model.transform(rows).select("sample_id", "label_id", F.col("prediction").cast("bigint").alias("predicted"))
 
 
 def _standard(s, d):

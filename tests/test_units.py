@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -330,6 +331,30 @@ def test_students_learn(spark):
         assert model.transform(d).where("prediction = label_id").count() == 60
 
 
+def test_soft_regression_equals_rows_repeated_for_each_label(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    from lexloom.operators import soft
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(300):
+        p = [r.random() ** 3 + 1e-3 for _ in range(4)]
+        rows.append((i, " ".join(r.choices(words[7 * (i % 4) :], k=r.choice([0, 1, 5, 12]))), [x / sum(p) if i % 5 else float(k == i % 4) for k, x in enumerate(p)]))
+    d = evaluation.with_words(spark.createDataFrame(rows, "id int, text string, q array<double>"), features=64).cache()
+    each = d.select("features", F.posexplode("q").alias("y", "w")).where("w > 0").select("features", F.col("y").cast("double").alias("y"), "w")
+    want = LogisticRegression(labelCol="y", weightCol="w", maxIter=100, regParam=0.001, tol=1e-9).fit(each)
+    got = soft.fit(d, "q", steps=100, tolerance=1e-9)
+    assert abs(got.coefficientMatrix.toArray() - want.coefficientMatrix.toArray()).max() < 0.01
+    probability = lambda m: {x.id: x.p for x in m.transform(d).select("id", vector_to_array("probability").alias("p")).collect()}
+    a, b = probability(got), probability(want)
+    assert len(a) == 300 and max(abs(x - y) for i in a for x, y in zip(a[i], b[i])) < 1e-3
+    with pytest.raises(ValueError):
+        soft.fit(d.limit(0), "q")
+
+
 def test_soft_loss_is_zero_for_equal_students(spark):
     d = spark.createDataFrame([([1.0, 2.0, 1000.0], [1.0, 2.0, 1000.0])], "t array<double>, s array<double>")
     x = d.select(evaluation.soft_loss(F.col("t").cast("array<double>"), F.col("s"), F.lit(2)).alias("x"), evaluation.feature_loss(F.col("t"), F.col("s")).alias("f")).first()
