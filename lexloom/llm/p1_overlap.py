@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .base import GRAM, SHORTEST, batches, code_points, cut, distinct_sorted, grams, normal_form, shared_counts
 
-#: Characters of a shard of evaluation texts, and of a block of train texts; characters and hits that are handled at once; characters of a span that are searched at a stretch.
-SHARD, BLOCK, BATCH, HITS, STRETCH = 3_000_000, 2_500_000, 800_000, 2_000_000, 400
+#: Characters of a shard of evaluation texts, and of a block of train texts; characters and hits that are handled at once.
+SHARD, BLOCK, BATCH, HITS = 3_000_000, 2_500_000, 800_000, 2_000_000
 #: Where a task has more than one shard: characters of its train and of its evaluation texts whose parities are compared at once; windows of the narrowest class of sizes; rows that are compared at a stretch.
 WIDE, LOT, NARROW, STRIP = 20_000_000, 200_000_000, 256, 1 << 16
 #: SPARE: windows that are looked up beyond those that a partner may lack.
@@ -50,6 +50,7 @@ class RunIndex:
         s = np.zeros(n, np.int64)
         s[where] = np.searchsorted(self.alphabet, points) + 1
         rows = self._order(s)
+        self.rows, self.text = rows.astype(np.int32), s.astype(np.int32)
         self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at) + 1)[rows]  # the text of each row
         bwt = s[rows - 1]
         start = np.concatenate([[0], np.flatnonzero(bwt[1:] != bwt[:-1]) + 1])
@@ -133,12 +134,47 @@ class RunIndex:
         place[place == len(self.alphabet)] = 0
         return np.where(self.alphabet[place] == points, place + 1, 0)
 
+    def narrowed(self, c: np.ndarray, depth: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of intervals whose suffixes, equal for depth symbols, go on with c; found by halving."""
+        ends = []
+        for above in (c, c + 1):
+            a, b = lo.copy(), hi.copy()
+            open_ = np.flatnonzero(a < b)
+            while len(open_):
+                m = (a[open_] + b[open_]) >> 1
+                less = self.text[self.rows[m] + depth[open_]] < above[open_]
+                a[open_[less]] = m[less] + 1
+                b[open_[~less]] = m[~less]
+                open_ = open_[a[open_] < b[open_]]
+            ends.append(a)
+        return ends[0], ends[1]
+
+    def rightmost(self, s: np.ndarray, p: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """How far the matches that begin at p with a window that occurs can be, up to last."""
+        at = p + GRAM
+        lo, hi = self.search(np.stack([s[p + j] for j in range(GRAM)], 1))
+        live = np.flatnonzero(at < last)
+        while len(live):
+            a, b = self.narrowed(s[at[live]], at[live] - p[live], lo[live], hi[live])
+            ok = b > a
+            live, a, b = live[ok], a[ok], b[ok]
+            lo[live], hi[live] = a, b
+            at[live] += 1
+            live = live[at[live] < last[live]]
+        return at
+
     def maximal(self, s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The matches in spans begin .. end of symbols all of whose windows occur: (span, start, past the last), each as long to the left as it can be, from the right on. All spans go one step at a time."""
+        """The maximal matches (no longer to the left nor to the right) in spans begin .. end of symbols all of whose windows occur: (span, start, past the last), from the right on. All spans go one step at a time."""
         p, e, out = end.copy(), end.copy(), []
         lo, hi = np.zeros(len(p), np.int64), np.full(len(p), self.n)
         live = np.flatnonzero(end > begin)
-        while len(live):
+        waiting = np.zeros(0, np.int64)
+        while len(live) or len(waiting):
+            if not len(live):
+                # the next match holds the character before the last one's: it ends where the matches that begin there end at most, and is searched to the left from there
+                e[waiting] = self.rightmost(s, p[waiting] - 1, e[waiting] - 1)
+                p[waiting], lo[waiting], hi[waiting] = e[waiting], 0, self.n
+                live, waiting = waiting, waiting[:0]
             more = p[live] > begin[live]
             c = s[np.maximum(p[live] - 1, 0)]
             a, b = self.step(c, lo[live]), self.step(c, hi[live])
@@ -148,14 +184,12 @@ class RunIndex:
             p[x] -= 1
             x = live[~ok]
             out.append((x, p[x], e[x]))
-            x = live[~ok & more]  # the window that begins one to the left occurs: the next match ends with it
-            e[x] = p[x] + GRAM - 1
-            p[x], lo[x], hi[x] = e[x], 0, self.n
-            live = live[ok | more]
+            waiting = np.concatenate([waiting, live[~ok & more]])
+            live = live[ok]
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
     def matches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text, the characters in its merged spans, and its longest maximal match (spans are cut into stretches of STRETCH characters)."""
+        """Of each text, the characters in its merged spans, and its longest maximal match."""
         points, at = code_points(texts)
         covered, longest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         m = len(points) - GRAM + 1
@@ -181,11 +215,8 @@ class RunIndex:
         # windows that are apart by less than their length overlap or touch: they are one span
         apart = np.concatenate([[True], (begin[1:] > end[:-1]) | (owner[edge][1:] != owner[edge][:-1])])
         covered += np.bincount(owner[edge], np.maximum(end - np.maximum(begin, np.where(apart, begin, np.concatenate([[0], end[:-1]]))), 0), len(texts)).astype(np.int64)
-        pieces = np.maximum(1, -((GRAM - 1 - (end - begin)) // (STRETCH - GRAM + 1)))
-        k = np.arange(pieces.sum()) - np.repeat(_below(pieces), pieces)
-        b = np.repeat(begin, pieces) + k * (STRETCH - GRAM + 1)
-        span, x, y = self.maximal(s, b, np.minimum(b + STRETCH, np.repeat(end, pieces)))
-        np.maximum.at(longest, np.repeat(owner[edge], pieces)[span], y - x)
+        span, x, y = self.maximal(s, begin, end)
+        np.maximum.at(longest, owner[edge][span], y - x)
         return covered, longest
 
 
@@ -308,10 +339,18 @@ def pairs(train: list[str], evaluation: list[str], similarity: float = SIMILARIT
         both = shared_counts(np.concatenate([eh, th]), np.concatenate([eb, len(eh) + tb[1:]]), t_local + len(evaluation), e)
         joint = np.diff(tb)[t_local] + np.diff(eb)[e] - both
         ok = np.flatnonzero(both >= similarity * joint - 1e-9)
-        matched, which = np.unique(t[ok], return_inverse=True)
-        covered, longest = index.matches([some[i] for i in matched])
-        found.append((at[t[ok]], e[ok], both[ok] / joint[ok], (covered / np.maximum(sizes[at[matched]], 1))[which], longest[which]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else none
+        found.append((at[t[ok]], e[ok], both[ok] / joint[ok]))
+    if not found:
+        return none
+    i, j, s = (np.concatenate(x) for x in zip(*found))
+    # the matches of all texts that have a partner, as many at once as possible: a step costs about the same for few as for many
+    matched, which = np.unique(i, return_inverse=True)
+    covered, longest = np.zeros(len(matched), np.int64), np.zeros(len(matched), np.int64)
+    chunk = np.cumsum(sizes[matched]) // (4 * BATCH)
+    for c in np.unique(chunk):
+        at = np.flatnonzero(chunk == c)
+        covered[at], longest[at] = index.matches([train[k] for k in matched[at]])
+    return i, j, s, (covered / np.maximum(sizes[matched], 1))[which], longest[which]
 
 
 _PAIRS = "task bigint, a array<bigint>, b array<bigint>, similarity double, covered double, longest int"

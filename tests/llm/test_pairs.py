@@ -98,6 +98,34 @@ def test_parities_lose_no_pair():
         assert want <= pair(bits)
 
 
+def test_matches_are_maximal_to_both_sides():
+    r = random.Random(7)
+    evaluation = ["abcdefgh", "defghij", "".join(r.choice("ab") for _ in range(900)), *("".join(r.choice("abc") for _ in range(60)) for _ in range(20))]
+    index = p1_overlap.RunIndex(evaluation)
+    assert index.matches(["abcdefghij"])[1][0] == 8  # defghij alone would be the longest from the right
+    texts = [evaluation[2][100:880], "abcdefghij"] + ["".join(r.choice("abc") for _ in range(r.choice([5, 30, 80]))) for _ in range(30)]
+    occurs = lambda x: any(x in e for e in evaluation)
+    for text in texts:
+        want = set()
+        right = 0
+        for p in range(len(text) - 4):
+            e = max(p, right)
+            while e < len(text) and occurs(text[p : e + 1]):
+                e += 1
+            if e > right and e - p >= 5:
+                want.add((p, e))
+            right = max(right, e)
+        covered = {i for p, e in want for i in range(p, e)}
+        c, longest = index.matches([text])
+        assert (c[0], longest[0]) == (len(covered), max((e - p for p, e in want), default=0))
+        s = index.symbols(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        at = [p for p in range(len(text) - 4) if occurs(text[p : p + 5])]
+        begin = [p for p in at if p - 1 not in at]
+        end = [p + 5 for p in at if p + 1 not in at]
+        _, x, y = index.maximal(s, np.array(begin, np.int64), np.array(end, np.int64))
+        assert sorted(zip(x.tolist(), y.tolist())) == sorted(want)
+
+
 def test_index_counts_windows():
     index = p1_overlap.RunIndex(["banana bandana", "anana"])
     s = lambda w: np.array([[np.searchsorted(index.alphabet, ord(c)) + 1 for c in w]])
