@@ -4,7 +4,8 @@ The evaluation texts of a task (in shards of bounded size) are indexed by a comp
 the Burrows-Wheeler transform of that order held as runs, and rank by run. Train texts are streamed through it in batches.
 Backward search finds the windows of five characters that occur (no shorter match matters to the similarity) and the
 intervals of their occurrences; windows that occur beside each other are merged to spans. Counts over the spans bound what a text
-can share, and in the spans of the texts that have a partner the search goes on to the maximal matches.
+can share, and in the spans of the texts that have a partner the maximal matches are sought: in the order of the suffixes, as many characters
+at once as fit one number, from few places of a span (the ends of the longest matches from a span's places never go back).
 
 No pair is lost: of a text with D windows, a partner of similarity s holds all but (1 - s) D. So of any k + (1 - s) D
 windows it holds at least k. Each text's rarest windows (by the interval's size) are looked up, and partners with
@@ -19,6 +20,7 @@ size and d are bounded, so no pair is lost; only parities travel for that. Equal
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from .base import GRAM, SHORTEST, batches, code_points, cut, distinct_sorted, gr
 SHARD, BLOCK, BATCH, HITS = 3_000_000, 2_500_000, 800_000, 2_000_000
 #: Where a task has more than one shard: characters of its train and of its evaluation texts whose parities are compared at once; windows of the narrowest class of sizes; rows that are compared at a stretch.
 WIDE, LOT, NARROW, STRIP = 20_000_000, 200_000_000, 256, 1 << 16
+#: Packed numbers of symbols that are compared at once.
+AHEAD = 8
 #: SPARE: windows that are looked up beyond those that a partner may lack.
 SIMILARITY, SPARE = 0.7, 24
 EVALUATION = ("val", "validation", "test")
@@ -45,6 +49,8 @@ class RunIndex:
         self.base = len(self.alphabet) + 1
         n = len(points) + len(texts)
         self.n = n
+        self.bits = max(1, int(self.base - 1).bit_length())
+        self.width = 62 // self.bits  # symbols that fit one number
         # symbol 0 ends each text
         where = np.arange(len(points)) + np.repeat(np.arange(len(texts)), np.diff(at))
         s = np.zeros(n, np.int64)
@@ -55,21 +61,21 @@ class RunIndex:
         bwt = s[rows - 1]
         start = np.concatenate([[0], np.flatnonzero(bwt[1:] != bwt[:-1]) + 1])
         symbol, length = bwt[start], np.diff(np.concatenate([start, [n]]))
-        by = np.argsort(symbol, kind="stable")
-        self.run = symbol[by] * (n + 1) + start[by]
+        run = symbol * (n + 1) + start
+        by = np.argsort(run)
+        self.run = run[by]
         self.length = length[by]
         self.before = np.cumsum(self.length) - self.length  # first row of the run's images: symbols smaller, and earlier runs
         self.first = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=self.base))])
 
     def _order(self, s: np.ndarray) -> np.ndarray:
         """Suffixes in order, each read as far as its text's end: sorted by as many symbols as fit one number, then ties alone by doubled prefixes."""
-        n, bits = len(s), max(1, int(self.base - 1).bit_length())
-        h = 62 // bits
+        n, bits, h = len(s), self.bits, self.width
         key = np.zeros(n, np.int64)
         padded = np.concatenate([s, np.zeros(h, np.int64)])
         for j in range(h):
             key = key << bits | padded[j : j + n]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         at = np.flatnonzero(np.concatenate([key[1:] == key[:-1], [False]]) | np.concatenate([[False], key[1:] == key[:-1]]))
         place = np.arange(n)
@@ -84,7 +90,7 @@ class RunIndex:
                 return order
             p = order[at]
             k = rank[p] * (n + 1) + rank[p + h] + 1
-            by = np.argsort(k, kind="stable")
+            by = np.argsort(k)
             order[at], k = p[by], k[by]
             fresh = np.concatenate([[True], k[1:] != k[:-1]])
             rank[order[at]] = np.maximum.accumulate(np.where(fresh, at, 0))
@@ -134,59 +140,107 @@ class RunIndex:
         place[place == len(self.alphabet)] = 0
         return np.where(self.alphabet[place] == points, place + 1, 0)
 
-    def narrowed(self, c: np.ndarray, depth: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The parts of intervals whose suffixes, equal for depth symbols, go on with c; found by halving."""
+    @cached_property
+    def packed(self) -> np.ndarray:
+        """At each place of the texts the symbols from there on, as many as fit one number, none past the text's end."""
+        key, inside = np.zeros(self.n, np.int64), np.ones(self.n, bool)
+        padded = np.concatenate([self.text, np.zeros(self.width, np.int32)])
+        for j in range(self.width):
+            c = padded[j : j + self.n]
+            inside &= c > 0
+            key = key << self.bits | c * inside
+        return key
+
+    @cached_property
+    def leading(self) -> np.ndarray:
+        """The packed symbols in the order of the suffixes."""
+        return self.packed[self.rows]
+
+    def narrowed(self, key: np.ndarray, depth: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of intervals whose suffixes, equal for depth symbols, go on with the packed symbols key (where there are none, the place that they would have); found by halving."""
         ends = []
-        for above in (c, c + 1):
-            a, b = lo.copy(), hi.copy()
+        for above in (key, key + 1):
+            a, b = (ends[0] if ends else lo).copy(), hi.copy()
             open_ = np.flatnonzero(a < b)
             while len(open_):
                 m = (a[open_] + b[open_]) >> 1
-                less = self.text[self.rows[m] + depth[open_]] < above[open_]
+                less = self.packed[self.rows[m] + depth[open_]] < above[open_]
                 a[open_[less]] = m[less] + 1
                 b[open_[~less]] = m[~less]
                 open_ = open_[a[open_] < b[open_]]
             ends.append(a)
         return ends[0], ends[1]
 
-    def rightmost(self, s: np.ndarray, p: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """How far the matches that begin at p with a window that occurs can be, up to last."""
-        at = p + GRAM
-        lo, hi = self.search(np.stack([s[p + j] for j in range(GRAM)], 1))
-        live = np.flatnonzero(at < last)
+    def along(self, keys: np.ndarray, at: np.ndarray, there: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where the symbols from at on, up to last, cease to be equal to those of the indexed texts from there on; some packed numbers of each are compared at once."""
+        at, live, there = at.copy(), np.arange(len(at)), there.astype(np.int64)
+        ahead = np.arange(AHEAD) * self.width
         while len(live):
-            a, b = self.narrowed(s[at[live]], at[live] - p[live], lo[live], hi[live])
-            ok = b > a
-            live, a, b = live[ok], a[ok], b[ok]
-            lo[live], hi[live] = a, b
-            at[live] += 1
-            live = live[at[live] < last[live]]
-        return at
-
-    def maximal(self, s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The maximal matches (no longer to the left nor to the right) in spans begin .. end of symbols all of whose windows occur: (span, start, past the last), from the right on. All spans go one step at a time."""
-        p, e, out = end.copy(), end.copy(), []
+            differ = keys[np.minimum(at[live, None] + ahead, len(keys) - 1)] ^ self.packed[np.minimum(there[:, None] + ahead, self.n - 1)]
+            k = np.argmax(differ != 0, 1)
+            differ = differ[np.arange(len(k)), k]
+            more = differ == 0
+            at[live] += np.where(more, AHEAD * self.width, k * self.width + self.alike(differ))
+            more &= at[live] < last[live]
+            live, there = live[more], there[more] + AHEAD * self.width
+        return np.minimum(at, last)
+
+    def alike(self, differ: np.ndarray) -> np.ndarray:
+        """How many of the first packed symbols are equal in numbers whose bits differ so."""
+        return self.width - np.searchsorted(np.int64(1) << self.bits * np.arange(self.width, dtype=np.int64), differ, "right")
+
+    def reach(self, keys: np.ndarray, p: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where the longest matches that begin at p end, up to last. keys: the packed symbols of the searched texts."""
+        at = p.copy()
+        live, key = np.arange(len(p)), keys[p]
         lo, hi = np.zeros(len(p), np.int64), np.full(len(p), self.n)
-        live = np.flatnonzero(end > begin)
-        waiting = np.zeros(0, np.int64)
-        while len(live) or len(waiting):
+        a, b = np.searchsorted(self.leading, key), np.searchsorted(self.leading, key, "right")
+        while True:
+            # those that no suffix goes on with share most with a neighbour of the place that they would have
+            x = np.flatnonzero(b == a)
+            depth = (at - p)[live[x]]
+            differ = np.full(len(x), 1 << 62)
+            for row, there in ((a[x] - 1, a[x] > lo[x]), (a[x], a[x] < hi[x])):
+                differ[there] = np.minimum(differ[there], self.packed[self.rows[row[there]] + depth[there]] ^ key[x[there]])
+            at[live[x]] += self.alike(differ)
+            ok = np.flatnonzero(b > a)
+            live, lo, hi = live[ok], a[ok], b[ok]
+            at[live] += self.width
+            # what is shared with the first and with the last of the suffixes left is shared with all of them; a single one is followed to its end, others for a stretch
+            depth, x = (at - p)[live], at[live]
+            at[live] = self.along(keys, x, self.rows[lo] + depth, np.where(hi > lo + 1, np.minimum(x + AHEAD * self.width, last[live]), last[live]))
+            more = np.flatnonzero(hi > lo + 1)
+            y = live[more]
+            at[y] = np.minimum(at[y], self.along(keys, x[more], self.rows[hi[more] - 1] + depth[more], at[y]))
+            more = more[at[y] < last[y]]
+            live, lo, hi = live[more], lo[more], hi[more]
             if not len(live):
-                # the next match holds the character before the last one's: it ends where the matches that begin there end at most, and is searched to the left from there
-                e[waiting] = self.rightmost(s, p[waiting] - 1, e[waiting] - 1)
-                p[waiting], lo[waiting], hi[waiting] = e[waiting], 0, self.n
-                live, waiting = waiting, waiting[:0]
-            more = p[live] > begin[live]
-            c = s[np.maximum(p[live] - 1, 0)]
-            a, b = self.step(c, lo[live]), self.step(c, hi[live])
-            ok = more & (b > a)
-            x = live[ok]
-            lo[x], hi[x] = a[ok], b[ok]
-            p[x] -= 1
-            x = live[~ok]
-            out.append((x, p[x], e[x]))
-            waiting = np.concatenate([waiting, live[~ok & more]])
-            live = live[ok]
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+                return np.minimum(at, last)
+            key = keys[at[live]]
+            a, b = self.narrowed(key, (at - p)[live], lo, hi)
+
+    def maximal(self, s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The maximal matches (no longer to the left nor to the right) in spans begin .. end of symbols all of whose windows occur: (span, start, past the last).
+        The longest match from a place ends nowhere before that from an earlier place, and a maximal match begins where that end moves: the places are halved where it differs."""
+        padded = np.concatenate([s, np.zeros(self.width, s.dtype)])
+        keys = np.zeros(len(s), np.int64)
+        for j in range(self.width):
+            keys = keys << self.bits | padded[j : j + len(s)]
+        span = np.flatnonzero(end > begin)
+        a, b, to_b = begin[span], end[span] - GRAM, end[span]
+        to_a = self.reach(keys, a, to_b)
+        out = [(span, a, to_a)]
+        while True:
+            more = to_a < to_b
+            span, a, to_a, b, to_b = (x[more] for x in (span, a, to_a, b, to_b))
+            if not len(span):
+                return tuple(np.concatenate(x) for x in zip(*out))
+            beside = b == a + 1
+            out.append((span[beside], b[beside], to_b[beside]))
+            span, a, to_a, b, to_b = (x[~beside] for x in (span, a, to_a, b, to_b))
+            m = (a + b) >> 1
+            to_m = self.reach(keys, m, end[span])
+            span, a, to_a, b, to_b = (np.concatenate(x) for x in ((span, span), (a, m), (to_a, to_m), (m, b), (to_m, to_b)))
 
     def matches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text, the characters in its merged spans, and its longest maximal match."""
@@ -249,14 +303,17 @@ def _candidates(index: RunIndex, texts: list[str], similarity: float, size: np.n
         absent = np.bincount(o[np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])]))], minlength=len(texts))
     window, owner = window[ok], owner[ok]
     key = index._keys(s, m)[window]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, owner, window = key[order], owner[order], window[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    fresh = new.copy()
-    fresh[1:] |= owner[1:] != owner[:-1]
-    which = (np.cumsum(new) - 1)[fresh]
-    owner, at_new = owner[fresh], window[new]
+    at_new = window[new]
+    # each text's distinct windows; numbers are sorted much faster than their order is found
+    bits = len(texts).bit_length()
+    code = (np.cumsum(new) - 1) << bits | owner
+    code.sort()
+    code = code[np.append(code[1:] != code[:-1], True)] if len(code) else code
+    which, owner = code >> bits, code & ((1 << bits) - 1)
     lo, hi = index.search(np.stack([s[at_new + j] for j in range(GRAM)], 1)) if len(at_new) else (none, none)
     lo, n_hits = lo[which], (hi - lo)[which]
     distinct = absent + np.bincount(owner, minlength=len(texts))
@@ -282,7 +339,7 @@ def _candidates(index: RunIndex, texts: list[str], similarity: float, size: np.n
     need = np.maximum(taken - miss, 1)
     use = level <= limit[owner]
     lo, n_hits, owner = lo[use], n_hits[use], owner[use]
-    order = np.argsort(owner, kind="stable")
+    order = np.sort(owner << 32 | np.arange(len(owner))) & ((1 << 32) - 1)
     lo, n_hits, owner = lo[order], n_hits[order], owner[order]
     out_t, out_e = [], []
     ends = np.cumsum(n_hits)

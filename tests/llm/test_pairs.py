@@ -126,6 +126,32 @@ def test_matches_are_maximal_to_both_sides():
         assert sorted(zip(x.tolist(), y.tolist())) == sorted(want)
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij", "".join(map(chr, range(0x4E00, 0x4E00 + 6000)))])
+def test_maximal_matches_take_few_rounds(letters, monkeypatch):
+    r = random.Random(8)
+    make = lambda n: "".join(r.choice(letters) for _ in range(n))
+    text, run = make(3000), letters[0] * 700
+    evaluation = [text[:1500] + letters[-1] * 2 + text[1500:], text[900:2000], text[100:1200] + letters[0] * 3, run, run[:50] + make(3) + run[:300], run[:299], make(6000) if len(letters) > 10 else make(200)]
+    index = p1_overlap.RunIndex(evaluation)
+    rounds = []
+    for name in ("step", "narrowed"):
+        f = getattr(p1_overlap.RunIndex, name)
+        monkeypatch.setattr(p1_overlap.RunIndex, name, lambda *x, f=f: rounds.append(1) or f(*x))
+    texts = [text, run + letters[1] * 9, run[:298], text[800:1000] + run[:20] + text[1400:1700]]
+    covered, longest = index.matches(texts)
+    assert 0 < len(rounds) < 1000  # one for each character and side would be more than 3,000
+    for k, t in enumerate(texts):
+        right, want = 0, []
+        for p in range(len(t) - 4):
+            e = max(p, right)
+            while e < len(t) and any(t[p : e + 1] in x for x in evaluation):
+                e += 1
+            if e > right and e - p >= 5:
+                want.append((p, e))
+            right = max(right, e)
+        assert (covered[k], longest[k]) == (len({i for p, e in want for i in range(p, e)}), max(e - p for p, e in want))
+
+
 def test_index_counts_windows():
     index = p1_overlap.RunIndex(["banana bandana", "anana"])
     s = lambda w: np.array([[np.searchsorted(index.alphabet, ord(c)) + 1 for c in w]])
